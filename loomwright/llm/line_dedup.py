@@ -75,29 +75,34 @@ def sketch(raw: bytes) -> int:
     return int(np.packbits(odd.astype(np.uint8)).view(">i4")[0])
 
 
-def _keys(tau):
+SEEN = 200_000  # lines that a task remembers, to give copies their keys once
+
+
+def _keys(tau, probe):
     def run(batches):
-        names = ["key", "lid", "sk", "probe"]
-        plans: dict[int, tuple] = {}
+        plans: dict[int, list[tuple[int, int, int]]] = {}
+        seen: set[int] = set()
         hashed = xxhash.xxh3_64_intdigest
         for b in slices(batches, "line"):
-            key, lid, sk, probe = [], [], [], []
+            key, lid, sk = [], [], []
             for i, line in zip(b.column("lid").to_pylist(), b.column("line").to_pylist()):
+                if i in seen:
+                    continue
+                seen.add(i)
                 n = len(line)
                 if n not in plans:
                     if len(plans) > 20_000:
                         plans.clear()
-                    own = [(s, s + z, n << 3 | k, 0) for k, (s, z) in enumerate(segments(n, tau))]
-                    other = [(s, s + z, m << 3 | k, 1) for m in range(max(n - tau, MIN_CHARS), n + 1) for k, s, z in windows(n, m, tau)]
-                    plans[n] = own + other
-                bit = sketch(line.encode("utf-32-le"))
-                for s, e, seed, role in plans[n]:
-                    key.append(hashed(line[s:e].encode(), seed))
-                    probe.append(role)
-                m = len(plans[n])
-                lid += [i] * m
-                sk += [bit] * m
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(lid, pa.int64()), pa.array(sk, pa.int32()), pa.array(probe, pa.int8())], names=names)
+                    if probe:
+                        plans[n] = [(s, s + z, m << 3 | k) for m in range(max(n - tau, MIN_CHARS), n + 1) for k, s, z in windows(n, m, tau)]
+                    else:
+                        plans[n] = [(s, s + z, n << 3 | k) for k, (s, z) in enumerate(segments(n, tau))]
+                key += [hashed(line[s:e].encode(), seed) for s, e, seed in plans[n]]
+                lid += [i] * len(plans[n])
+                sk += [sketch(line.encode("utf-32-le"))] * len(plans[n])
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(lid, pa.int64()), pa.array(sk, pa.int32())], names=["key", "lid", "sk"])
 
     return run
 
@@ -149,37 +154,43 @@ def _verify(tau):
 
 
 def link_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """Links (a, b), a < b, between different lines (lid: long, line: string; a row for each lid)."""
-    keys = materialize(arrow_map(lines.select("lid", "line"), _keys(tau), "key long, lid long, sk int, probe tinyint"))
-    index = keys.where("probe = 0").select("key", F.col("lid").alias("a"), F.col("sk").alias("sa"))
-    probe = keys.where("probe = 1").select("key", F.col("lid").alias("b"), F.col("sk").alias("sb"))
+    """Links (a, b), a < b, between different lines (lid: long, line: string; copies may repeat)."""
+
+    def side(probe, lid, sk):
+        rows = arrow_map(lines.select("lid", "line"), _keys(tau, probe), "key long, lid long, sk int")
+        rows = rows.repartition("key").dropDuplicates(["key", "lid", "sk"])  # one shuffle serves this and the join
+        return rows.select("key", F.col("lid").alias(lid), F.col("sk").alias(sk))
+
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * tau
+    index, probe = side(0, "a", "sa"), side(1, "b", "sb")
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
     pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = small(materialize(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()))
-    texts = materialize(lines.join(need, "lid", "left_semi").select("lid", "line"))
-    side = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias("line_" + c))
-    return materialize(arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(tau), "a long, b long"))
+    texts = materialize(lines.select("lid", "line").join(need, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")))
+    text = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias("line_" + c))
+    return materialize(arrow_map(pairs.join(text("a"), "a").join(text("b"), "b"), _verify(tau), "a long, b long"))
+
 
+def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """A row for each document with lines: doc_id, text_key, n_lines, n_links, removed (positions).
 
-def removals(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
-    """(a row for each document: doc_id, text_key, n_lines, n_links, removed: positions; all lines)."""
+    The texts are split anew in each pass over them: that costs less than to write the lines."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    rows = materialize(arrow_map(keyed, _lines, "doc_id long, text_key long, pos int, lid long, line string"))
-    lines = rows.groupBy("lid").agg(F.first("line").alias("line"))
-    linked = link_lines(materialize(lines), tau)
+    lines = arrow_map(keyed, _lines, "doc_id long, text_key long, pos int, lid long, line string")
+    rows = materialize(lines.drop("line"))
+    linked = link_lines(lines, tau)
     degree = linked.select(F.col("a").alias("lid")).union(linked.select("b")).groupBy("lid").agg(F.count("*").alias("links"))
     groups = connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = small(materialize(degree.join(groups, F.col("lid") == F.col("node")).select("lid", "links", "root")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key", "pos")
-    seen = rows.select("doc_id", "text_key", "pos", "lid").join(named, "lid", "left")
+    seen = rows.join(named, "lid", "left")
     seen = seen.select("doc_id", "text_key", "pos", "links", F.coalesce("root", "lid").alias("class"), place.alias("place"))
     first = seen.groupBy("class").agg(F.min("place").alias("first"), F.max("place").alias("end")).where("first <> end").select("class", "first")
     first = small(materialize(first))
-    marked = seen.join(first, "class", "left").select("doc_id", "text_key", "pos", "links", (F.col("first").isNotNull() & (F.col("place") != F.col("first"))).alias("gone"))
-    per = marked.groupBy("doc_id", "text_key").agg(F.size(F.collect_set("pos")).cast("long").alias("n_lines"),
-                                                   F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("pos")))).alias("removed"))
-    return per, rows
+    gone = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
+    marked = seen.join(first, "class", "left").select("doc_id", "text_key", "pos", "links", gone.alias("gone"))
+    once = marked.groupBy("doc_id", "text_key", "pos").agg(F.max("links").alias("links"), F.max("gone").alias("gone"))  # equal rows are one document
+    return once.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("removed"))
 
 
 def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -191,7 +202,7 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def _without(docs: DataFrame, tau: int, more: list[str]) -> DataFrame:
-    per, _ = removals(docs, tau)
+    per = removals(docs, tau)
     per = small(materialize(per.select(F.col("doc_id").alias("_lw_id"), F.col("text_key").alias("_lw_key"), F.col("removed").alias("_lw_removed"), *more)))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     out = docs.join(per, docs["doc_id"].eqNullSafe(per["_lw_id"]) & (key == per["_lw_key"]), "left")
