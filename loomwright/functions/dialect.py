@@ -130,6 +130,12 @@ class Spark(Dialect):
     def rest(self, x, n):
         return f"substring({x}, {n})"
 
+    def stage(self, source, columns):
+        """source with further columns that are computed once: no filter or projection above is
+        merged into the generator, so costly expressions are not evaluated again."""
+        made = ", ".join(f"{self.lit(k)}, {e}" for k, e in columns.items())
+        return f"SELECT * FROM ({source}) src LATERAL VIEW inline(array(named_struct({made}))) made AS {', '.join(columns)}"
+
     def joined(self, x, sep, order):
         return f"listagg({x}, {self.lit(sep)}) WITHIN GROUP (ORDER BY {order})"
 
@@ -194,6 +200,9 @@ class Duck(Dialect):
     def rest(self, x, n):
         return f"substring({x}, {n})"
 
+    def stage(self, source, columns):
+        return f"SELECT *, {', '.join(f'{e} AS {k}' for k, e in columns.items())} FROM ({source}) src"
+
     def joined(self, x, sep, order):
         return f"string_agg({x}, {self.lit(sep)} ORDER BY {order})"
 

@@ -18,7 +18,7 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 
 def scored(d: Dialect) -> str:
     """documents with word count, score and title: what most of the relational queries start from."""
-    return f"SELECT doc_id, source, lang, text, {d.n_words('text')} AS words, {S.overall(d, 'text', 30)} AS score FROM documents"
+    return d.stage("SELECT doc_id, source, lang, text FROM documents", {"words": d.n_words("text"), "score": S.overall(d, "text", 30)})
 
 
 def _per_doc(column: str, make):
@@ -26,7 +26,7 @@ def _per_doc(column: str, make):
 
 
 def _stripped(column: str, make):
-    return lambda d: f"SELECT doc_id, {make(d, 't')} AS {column} FROM (SELECT doc_id, {C.strip_tags(d, 'text')} AS t FROM documents) s"
+    return lambda d: f"SELECT doc_id, {make(d, 't')} AS {column} FROM ({d.stage('SELECT doc_id, text FROM documents', {'t': C.strip_tags(d, 'text')})}) s"
 
 
 def _page(column: str, make):
@@ -38,8 +38,8 @@ def _url(column: str, make):
 
 
 def class_scores(d: Dialect) -> str:
-    parts = ", ".join(f"{make(d, 'text' if k == 'structure' else 't')} AS {k}" for k, make in S.CLASS_PARTS.items())
-    return f"SELECT doc_id, {parts} FROM (SELECT doc_id, text, {C.strip_tags(d, 'text')} AS t FROM documents) s"
+    plain = d.stage("SELECT doc_id, text FROM documents", {"t": C.strip_tags(d, "text")})
+    return d.stage(plain, {k: make(d, "text" if k == "structure" else "t") for k, make in S.CLASS_PARTS.items()})
 
 
 def class_overall(weights: dict):
@@ -102,7 +102,7 @@ def title_of(d: Dialect) -> str:
 
 def page_rows(d: Dialect) -> str:
     title = f"CASE WHEN {d.test('title', GENERIC, 'i')} THEN {C.url_title(d, 'url')} ELSE title END"
-    return f"SELECT page_id, url, host, {title} AS title, content, {d.n_words('content')} AS words FROM (SELECT page_id, url, {C.url_host(d, 'url')} AS host, {title_of(d)} AS title, {C.strip_html(d, 'html')} AS content FROM pages) p"
+    return f"SELECT page_id, url, host, {title} AS title, content, {d.n_words('content')} AS words FROM ({d.stage('SELECT page_id, url, html FROM pages', {'host': C.url_host(d, 'url'), 'title': title_of(d), 'content': C.strip_html(d, 'html')})}) p"
 
 
 def estimates(d: Dialect) -> str:

@@ -1,6 +1,58 @@
+"""Queries that are programs rather than one expression: extraction, traversal, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomwright.functions.dialect import DUCK, SPARK
+from loomwright.functions.html import extract_pages, nfc
+from loomwright.functions.scoring import level, overall
+from loomwright.operators import catalog
+from loomwright.operators.graph import crawl_order
+from loomwright.session import table
+from loomwright.streaming.curate import new_events, running_totals
+
+DEPTH = 2
+
+
+def extracted(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "method", "reason", F.length("content").cast("long").alias("chars"), F.size("links").cast("long").alias("links"))
+
+
+def curated(spark, sf_dir):
+    """Pages to ranked documents: extraction, score, gate, position within the host."""
+    rows = extract_pages(table(spark, sf_dir, "pages"))
+    rows.createOrReplaceTempView("extracted_pages")
+    host = catalog.C.url_host(SPARK, "url")
+    scored = SPARK.stage("SELECT page_id, url, title, content FROM extracted_pages", {"host": host, "score": overall(SPARK, "content", 30)})
+    return spark.sql(f"SELECT page_id, host, title, score, {level('score')} AS level, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS position FROM ({scored}) s WHERE score >= 0.2")
+
+
+def walk(spark, sf_dir):
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    edges = spark.sql(catalog.edges(SPARK))
+    seeds = spark.sql("SELECT url, 0 AS depth FROM pages WHERE page_id % 10 = 0")
+    return crawl_order(edges, seeds, DEPTH).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+WALK = f"""WITH RECURSIVE edges AS ({catalog.edges(DUCK)}), walk AS (
+        SELECT url, CAST(0 AS BIGINT) AS depth FROM pages WHERE page_id % 10 = 0
+        UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < {DEPTH})
+    SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
+
+
 def queries():
-    return {}
+    return {
+        "extract_pages": extracted, "curate_pages": curated, "link_bfs": walk,
+        "clean_nfc": lambda spark, sf_dir: nfc(table(spark, sf_dir, "documents")),
+        "stream_new_events": new_events, "stream_totals": running_totals,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "link_bfs": WALK,
+        "clean_nfc": "SELECT doc_id, nfc_normalize(text) AS cleaned FROM documents",
+        "stream_new_events": "SELECT DISTINCT event_id, event_type FROM events",
+        "stream_totals": "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY event_type",
+    }
