@@ -75,6 +75,17 @@ def sketch(raw: bytes) -> int:
     return int(np.packbits(odd.astype(np.uint8)).view(">i4")[0])
 
 
+def _found(batches):
+    """(lid, line) lists: from columns of these names, or split from texts on the spot."""
+    for b in batches:
+        if "line" in b.schema.names:
+            yield zip(b.column("lid").to_pylist(), b.column("line").to_pylist())
+            continue
+        for part in slices([b]):
+            lines = (normal(line) for t in part.column("text").to_pylist() for line in (t or "").split("\n"))
+            yield [(line_id(line), line) for line in lines if len(line) >= MIN_CHARS]
+
+
 SEEN = 200_000  # lines that a task remembers, to give copies their keys once
 
 
@@ -83,9 +94,9 @@ def _keys(tau, probe):
         plans: dict[int, list[tuple[int, int, int]]] = {}
         seen: set[int] = set()
         hashed = xxhash.xxh3_64_intdigest
-        for b in slices(batches, "line"):
+        for found in _found(batches):
             key, lid, sk = [], [], []
-            for i, line in zip(b.column("lid").to_pylist(), b.column("line").to_pylist()):
+            for i, line in found:
                 if i in seen:
                     continue
                 seen.add(i)
@@ -153,11 +164,14 @@ def _verify(tau):
     return run
 
 
-def link_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """Links (a, b), a < b, between different lines (lid: long, line: string; copies may repeat)."""
+def link_lines(lines: DataFrame, tau: int = TAU, texts: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), a < b, between different lines (lid: long, line: string; copies may repeat).
+
+    texts: the rows (text) that the lines were split from; keys are then made where the texts are."""
+    source = lines.select("lid", "line") if texts is None else texts.select("text")
 
     def side(probe, lid, sk):
-        rows = arrow_map(lines.select("lid", "line"), _keys(tau, probe), "key long, lid long, sk int")
+        rows = arrow_map(source, _keys(tau, probe), "key long, lid long, sk int")
         rows = rows.repartition("key").dropDuplicates(["key", "lid", "sk"])  # one shuffle serves this and the join
         return rows.select("key", F.col("lid").alias(lid), F.col("sk").alias(sk))
 
@@ -166,8 +180,8 @@ def link_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
     pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = small(materialize(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()))
-    texts = materialize(lines.select("lid", "line").join(need, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")))
-    text = lambda c: texts.select(F.col("lid").alias(c), F.col("line").alias("line_" + c))
+    found = materialize(lines.select("lid", "line").join(need, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")))
+    text = lambda c: found.select(F.col("lid").alias(c), F.col("line").alias("line_" + c))
     return materialize(arrow_map(pairs.join(text("a"), "a").join(text("b"), "b"), _verify(tau), "a long, b long"))
 
 
@@ -178,7 +192,7 @@ def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     lines = arrow_map(keyed, _lines, "doc_id long, text_key long, pos int, lid long, line string")
     rows = materialize(lines.drop("line"))
-    linked = link_lines(lines, tau)
+    linked = link_lines(lines, tau, keyed)
     degree = linked.select(F.col("a").alias("lid")).union(linked.select("b")).groupBy("lid").agg(F.count("*").alias("links"))
     groups = connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = small(materialize(degree.join(groups, F.col("lid") == F.col("node")).select("lid", "links", "root")))
