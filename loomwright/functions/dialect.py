@@ -17,6 +17,12 @@ _BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 
 
 def translate(pattern: str, flags: str, java: bool) -> str:
+    words = re.fullmatch(r"\\b\(([a-z|]+)\)\\b", pattern)
+    if java and words:  # a list of whole words: look at the first letter before anything else
+        first = "".join(sorted({w[0] for w in words[1].split("|")}))
+        return f"{'(?i)' * ('i' in flags)}(?=[{first}])(?<!{_W})(?:{words[1]})(?!{_W})"
+    if java and pattern.startswith(r"\b["):  # a class of word characters
+        return translate(pattern[2:], flags, java).replace("[", f"(?<!{_W})[", 1)
     out, inside, i = [], False, 0
     while i < len(pattern):
         c, two = pattern[i], pattern[i : i + 2]

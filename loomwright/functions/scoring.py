@@ -51,18 +51,36 @@ def sentences(d: Dialect, x: str, longer_than: int = 0) -> str:
     return d.filter(d.split(x, r"[.!?]+"), "s", f"length({d.trim('s')}) > {longer_than}")
 
 
+def basis(d: Dialect, source: str, x: str, text: bool = True, hits: bool = True) -> str:
+    """source with what the scores of x share, each computed once a row: words n, different words u,
+    sentences s and their different word counts k, sentences over 10 characters r, of which ru differ,
+    characters outside white space solid, pieces between white space p, lower-cased text low, and hits
+    h0.. of the technical patterns."""
+    if text:
+        pieces, trimmed = d.split(x, r"\s+"), d.map(d.split(x, r"[.!?]+"), "s", d.trim("s"))
+        source = d.stage(source, {"ps": pieces, "ss": d.filter(trimmed, "s", "s <> ''"), "low": f"lower({x})"})
+        source = d.stage(source, {"ws": d.filter("ps", "w", "w <> ''"), "rs": d.map(d.filter("ss", "z", "length(z) > 10"), "z", "lower(z)")})
+        count = lambda xs: d.size(d.distinct(xs))
+        source = d.stage(source, {
+            "n": d.size("ws"), "u": count(d.map("ws", "w", "lower(w)")), "p": d.size("ps"), "s": d.size("ss"), "k": count(d.map("ss", "z", d.size(d.split("z", r"\s+")))),
+            "r": d.size("rs"), "ru": count("rs"), "solid": f"CAST(length({d.join('ws', '')}) AS BIGINT)",
+        })
+    if hits:
+        source = d.stage(source, {f"h{i}": d.count(x, pattern, f) for i, (pattern, f) in enumerate(TECHNICAL)})
+    return source
+
+
+# The functions from here on that say "basis" take a row of basis().
 def repetition(d: Dialect, x: str) -> str:
-    s = sentences(d, x, 10)
-    n, u = d.size(s), d.size(d.distinct(d.map(s, "z", f"lower({d.trim('z')})")))
-    return f"CASE WHEN {n} < 3 THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), 2 * (1 - {ratio(u, n)})) END"
+    """basis"""
+    return f"CASE WHEN r < 3 THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), 2 * (1 - {ratio('ru', 'r')})) END"
 
 
 def readability(d: Dialect, x: str) -> str:
-    n, s = d.n_words(x), d.size(sentences(d, x))
-    u = d.size(d.distinct(d.map(d.words(x), "w", "lower(w)")))
-    first = f"greatest(CAST(0 AS DOUBLE), 1 - abs({ratio(n, s)} - 17.5) / 17.5)"
-    second = f"least(CAST(1 AS DOUBLE), 2 * {ratio(u, n)})"
-    return f"CASE WHEN length({x}) < 50 OR {s} = 0 OR {n} = 0 THEN CAST(0 AS DOUBLE) ELSE {dbl(f'0.4 * {first} + 0.4 * {second} + 0.2 * (1 - ({repetition(d, x)}))')} END"
+    """basis"""
+    first = f"greatest(CAST(0 AS DOUBLE), 1 - abs({ratio('n', 's')} - 17.5) / 17.5)"
+    second = f"least(CAST(1 AS DOUBLE), 2 * {ratio('u', 'n')})"
+    return f"CASE WHEN length({x}) < 50 OR s = 0 OR n = 0 THEN CAST(0 AS DOUBLE) ELSE {dbl(f'0.4 * {first} + 0.4 * {second} + 0.2 * (1 - ({repetition(d, x)}))')} END"
 
 
 def completeness(d: Dialect, x: str) -> str:
@@ -74,9 +92,10 @@ def completeness(d: Dialect, x: str) -> str:
 
 
 def technical(d: Dialect, x: str) -> str:
-    kinds = "(" + " + ".join(f"CASE WHEN {d.test(x, p, f)} THEN 1 ELSE 0 END" for p, f in TECHNICAL) + ")"
-    total = "(" + " + ".join(d.count(x, p, f) for p, f in TECHNICAL) + ")"
-    return f"(0.6 * {ratio(kinds, '9')} + 0.4 * least(CAST(1 AS DOUBLE), {ratio(f'100 * {total}', d.size(d.split(x, r'\s+')))}))"
+    """basis"""
+    kinds = "(" + " + ".join(f"CASE WHEN h{i} > 0 THEN 1 ELSE 0 END" for i in range(len(TECHNICAL))) + ")"
+    total = "(" + " + ".join(f"h{i}" for i in range(len(TECHNICAL))) + ")"
+    return f"(0.6 * {ratio(kinds, '9')} + 0.4 * least(CAST(1 AS DOUBLE), {ratio(f'100 * {total}', 'p')}))"
 
 
 def structure(d: Dialect, x: str) -> str:
@@ -89,7 +108,7 @@ PARTS = {"readability": readability, "completeness": completeness, "technical":
 
 
 def overall(d: Dialect, x: str, least: int = 100, weights: dict = WEIGHTS) -> str:
-    """The server score; NULL and short texts have 0."""
+    """The server score (basis); NULL and short texts have 0."""
     total = " + ".join(f"{w} * ({PARTS[k](d, x)})" for k, w in weights.items())
     return f"CASE WHEN {x} IS NULL OR length({x}) < {least} THEN CAST(0 AS DOUBLE) ELSE {dbl(total)} END"
 
@@ -99,8 +118,8 @@ def level(s: str, names=("excellent", "good", "fair", "poor"), edges=(0.8, 0.6,
 
 
 def class_length(d: Dialect, x: str) -> str:
-    n = d.n_words(x)
-    bands = f"WHEN {n} < 20 THEN 0.0 WHEN {n} > 50000 THEN 0.5 WHEN {n} BETWEEN 100 AND 2000 THEN 1.0 WHEN {n} BETWEEN 50 AND 5000 THEN 0.8 WHEN {n} <= 10000 THEN 0.6 ELSE 0.3"
+    """basis"""
+    bands = "WHEN n < 20 THEN 0.0 WHEN n > 50000 THEN 0.5 WHEN n BETWEEN 100 AND 2000 THEN 1.0 WHEN n BETWEEN 50 AND 5000 THEN 0.8 WHEN n <= 10000 THEN 0.6 ELSE 0.3"
     return dbl(f"CASE {bands} END")
 
 
@@ -115,23 +134,21 @@ def class_structure(d: Dialect, x: str) -> str:
 
 
 def class_readability(d: Dialect, x: str) -> str:
-    t = x
-    s, n = d.size(sentences(d, t)), d.n_words(t)
-    long, wide = ratio(n, s), ratio(f"length({d.replace(t, r'\s+', '', '')})", n)
-    kinds = d.size(d.distinct(d.map(sentences(d, t), "z", d.size(d.split("z", r"\s+")))))
-    score = f"1 - CASE WHEN {long} > 25 THEN 0.3 WHEN {long} > 20 THEN 0.1 ELSE 0 END - CASE WHEN {wide} > 8 THEN 0.2 WHEN {wide} > 6 THEN 0.1 ELSE 0 END + 0.1 * {ratio(kinds, s)}"
-    return f"CASE WHEN {s} = 0 OR {n} = 0 THEN CAST(0 AS DOUBLE) ELSE {clamp(dbl(score))} END"
+    """basis"""
+    long, wide = ratio("n", "s"), ratio("solid", "n")
+    score = f"1 - CASE WHEN {long} > 25 THEN 0.3 WHEN {long} > 20 THEN 0.1 ELSE 0 END - CASE WHEN {wide} > 8 THEN 0.2 WHEN {wide} > 6 THEN 0.1 ELSE 0 END + 0.1 * {ratio('k', 's')}"
+    return f"CASE WHEN s = 0 OR n = 0 THEN CAST(0 AS DOUBLE) ELSE {clamp(dbl(score))} END"
 
 
 def class_technical(d: Dialect, x: str) -> str:
-    t = f"lower({x})"
-    each = [(0.4, f"0.05 * {d.any_of(t, TERMS)}"), (0.3, f"0.03 * {d.any_of(t, CODE)}"), (0.2, f"0.1 * {d.count(t, EXTENSION, 'i')}"), (0.1, f"0.05 * {d.count(t, r'(https?://|ftp://|sftp://|ssh://|git://)', 'i')}")]
+    """basis"""
+    each = [(0.4, f"0.05 * {d.any_of('low', TERMS)}"), (0.3, f"0.03 * {d.any_of('low', CODE)}"), (0.2, f"0.1 * {d.count('low', EXTENSION, 'i')}"), (0.1, f"0.05 * {d.count('low', r'(https?://|ftp://|sftp://|ssh://|git://)', 'i')}")]
     return "least(CAST(1 AS DOUBLE), " + " + ".join(f"least({dbl(str(m))}, {dbl(e)})" for m, e in each) + ")"
 
 
 def class_noise(d: Dialect, x: str) -> str:
-    t = f"lower({x})"
-    each = [(0.4, f"0.1 * {d.any_of(t, ADS)}"), (0.3, f"0.05 * {d.any_of(t, NAV)}"), (0.2, f"0.05 * {d.any_of(t, PLATE)}"), (0.1, f"0.02 * {d.count(t, r'[!]{2,}|[?]{2,}')}")]
+    """basis"""
+    each = [(0.4, f"0.1 * {d.any_of('low', ADS)}"), (0.3, f"0.05 * {d.any_of('low', NAV)}"), (0.2, f"0.05 * {d.any_of('low', PLATE)}"), (0.1, f"0.02 * {d.count('low', r'[!]{2,}|[?]{2,}')}")]
     return clamp("1 - " + " - ".join(f"least({dbl(str(m))}, {dbl(e)})" for m, e in each))
 
 
@@ -139,8 +156,8 @@ CLASS_PARTS = {"length": class_length, "structure": class_structure, "readabilit
 
 
 def client_parts(d: Dialect, x: str) -> dict[str, str]:
-    n = d.n_words(x)
-    mean = ratio(f"length({d.replace(x, r'\s+', '', '')})", n)
+    """basis"""
+    n, mean = "n", ratio("solid", "n")
     tech = " OR ".join(d.test(x, p, "i") for p in CLIENT_TECHNICAL)
     once = [d.test(x, p, "m") for p in (r"^#+\s+", r"^[-*+]\s+", r"^\d+\.\s+", r"```[\s\S]*```", r"^\s*>\s+")]
     struct = d.sum_of([(c, 0.2) for c in once]) + f" + 0.2 * {d.count(x, r'`[^`]+`')} + 0.2 * {d.count(x, r'\[.*?\]\(.*?\)')}"
@@ -158,15 +175,15 @@ def client_overall(d: Dialect, x: str, least: int = 30) -> str:
     return f"CASE WHEN {x} IS NULL OR length({x}) < {least} THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), {dbl(total)}) END"
 
 
-def soft_404(d: Dialect, title: str, x: str) -> str:
-    n, c, t = d.n_words(x), f"lower({x})", f"lower({title})"
+def soft_404(d: Dialect, title: str, x: str, n: str) -> str:
+    c, t = f"lower({x})", f"lower({title})"
     both = f"({d.has(c, '404')} AND {d.has(c, 'not found')})"
     return f"({d.has(t, '404')} OR {d.has(t, 'not found')} OR ({both} AND {n} BETWEEN 20 AND 200) OR ({n} < 20 AND ({d.has(c, 'not found')} OR {d.has(c, '404')})))"
 
 
-def validity(d: Dialect, x: str, least: int = 10) -> tuple[str, str]:
+def validity(d: Dialect, x: str, n: str, least: int = 10) -> tuple[str, str]:
     """(is valid, score)."""
-    n, c = d.n_words(x), f"lower({x})"
+    c = f"lower({x})"
     lost = f"({d.has(c, '404')} AND {d.has(c, 'not found')} AND {n} < 200)"
     score = f"CASE WHEN {lost} THEN CAST(0 AS DOUBLE) WHEN {n} < {least} THEN {ratio(n, str(least))} ELSE least(CAST(1 AS DOUBLE), {ratio(n, '500')}) END"
     return f"(NOT {lost} AND {n} >= {least})", score

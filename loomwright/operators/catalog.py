@@ -18,15 +18,24 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 
 def scored(d: Dialect) -> str:
     """documents with word count, score and title: what most of the relational queries start from."""
-    return d.stage("SELECT doc_id, source, lang, text FROM documents", {"words": d.n_words("text"), "score": S.overall(d, "text", 30)})
+    made = d.stage(S.basis(d, "SELECT doc_id, source, lang, text FROM documents", "text"), {"words": "n", "score": S.overall(d, "text", 30)})
+    return f"SELECT doc_id, source, lang, text, words, score FROM ({made}) m"
 
 
 def _per_doc(column: str, make):
     return lambda d: f"SELECT doc_id, {make(d, 'text')} AS {column} FROM documents"
 
 
+def _scored_doc(column: str, make, **parts):
+    return lambda d: f"SELECT doc_id, {make(d, 'text')} AS {column} FROM ({S.basis(d, 'SELECT doc_id, text FROM documents', 'text', **parts)}) b"
+
+
+def plain(d: Dialect) -> str:
+    return S.basis(d, d.stage("SELECT doc_id, text FROM documents", {"t": C.strip_tags(d, "text")}), "t", hits=False)
+
+
 def _stripped(column: str, make):
-    return lambda d: f"SELECT doc_id, {make(d, 't')} AS {column} FROM ({d.stage('SELECT doc_id, text FROM documents', {'t': C.strip_tags(d, 'text')})}) s"
+    return lambda d: f"SELECT doc_id, {make(d, 't')} AS {column} FROM ({plain(d)}) s"
 
 
 def _page(column: str, make):
@@ -38,8 +47,7 @@ def _url(column: str, make):
 
 
 def class_scores(d: Dialect) -> str:
-    plain = d.stage("SELECT doc_id, text FROM documents", {"t": C.strip_tags(d, "text")})
-    return d.stage(plain, {k: make(d, "text" if k == "structure" else "t") for k, make in S.CLASS_PARTS.items()})
+    return d.stage(plain(d), {k: make(d, "text" if k == "structure" else "t") for k, make in S.CLASS_PARTS.items()})
 
 
 def class_overall(weights: dict):
@@ -227,23 +235,23 @@ def labels_join(d: Dialect) -> str:
 CATALOG = {
     # first slice and document statistics
     "quality_by_lang": lambda d: f"SELECT lang, count(*) AS documents, CAST(sum(CASE WHEN score >= 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS kept, avg(score) AS mean_score, CAST(sum(words) AS BIGINT) AS total_words FROM ({scored(d)}) s GROUP BY lang",
-    "word_stats": lambda d: f"SELECT doc_id, {d.n_words('text')} AS n_words, {d.size(d.distinct(d.map(d.words('text'), 'w', 'lower(w)')))} AS unique_words, {d.size(S.sentences(d, 'text'))} AS sentences, CAST(length(text) AS BIGINT) AS chars FROM documents",
+    "word_stats": lambda d: f"SELECT doc_id, n AS n_words, u AS unique_words, s AS sentences, CAST(length(text) AS BIGINT) AS chars FROM ({S.basis(d, 'SELECT doc_id, text FROM documents', 'text', hits=False)}) b",
     # scores
-    "q1_readability": _per_doc("readability", S.readability), "q1_repetition": _per_doc("repetition", S.repetition), "q1_completeness": _per_doc("completeness", S.completeness),
-    "q1_technical": _per_doc("technical", S.technical), "q1_structure": _per_doc("structure", S.structure),
-    "q1_overall": lambda d: f"SELECT doc_id, score, {S.level('score')} AS level FROM (SELECT doc_id, {S.overall(d, 'text')} AS score FROM documents) s",
+    "q1_readability": _scored_doc("readability", S.readability, hits=False), "q1_repetition": _scored_doc("repetition", S.repetition, hits=False), "q1_completeness": _per_doc("completeness", S.completeness),
+    "q1_technical": _scored_doc("technical", S.technical), "q1_structure": _per_doc("structure", S.structure),
+    "q1_overall": lambda d: f"SELECT doc_id, score, {S.level('score')} AS level FROM ({d.stage(S.basis(d, 'SELECT doc_id, text FROM documents', 'text'), {'score': S.overall(d, 'text')})}) s",
     "q2_length": _stripped("score", S.class_length), "q2_structure": _page("score", S.class_structure), "q2_readability": _stripped("score", S.class_readability),
     "q2_technical": _stripped("score", S.class_technical), "q2_noise": _stripped("score", S.class_noise),
     "q2_overall": class_overall(S.CLASS_WEIGHTS), "q2_factory": class_overall(S.FACTORY_WEIGHTS), "q2_recommendations": advice,
-    "q3_client": lambda d: f"SELECT doc_id, score, {S.level('score', ('high', 'medium', 'low'), (0.7, 0.4))} AS level FROM (SELECT doc_id, {S.client_overall(d, 'text')} AS score FROM documents) s",
+    "q3_client": lambda d: f"SELECT doc_id, score, {S.level('score', ('high', 'medium', 'low'), (0.7, 0.4))} AS level FROM ({d.stage(S.basis(d, 'SELECT doc_id, text FROM documents', 'text', hits=False), {'score': S.client_overall(d, 'text')})}) s",
     "q4_document_stats": lambda d: f"SELECT doc_id, {d.n_words('text')} AS words, CAST(length(text) AS BIGINT) AS chars, ({' OR '.join(d.test('text', p, 'i') for p in S.CLIENT_TECHNICAL)}) AS technical, {d.test('text', r'^#+\s+|^[-*+]\s+|^\d+\.\s+', 'm')} AS has_structure FROM documents",
     # filters
     "quality_filter": lambda d: f"SELECT doc_id, score FROM ({scored(d)}) s WHERE score >= 0.2",
     "annotated_filter": lambda d: f"SELECT doc_id, score, {S.level('score')} AS level FROM ({scored(d)}) s WHERE score >= 0.4",
     "pass_or_null": lambda d: f"SELECT doc_id, score >= 0.4 AS passed, CASE WHEN score >= 0.4 THEN length(text) END AS kept_chars FROM ({scored(d)}) s",
     "min_words": lambda d: f"SELECT doc_id FROM ({scored(d)}) s WHERE words >= coalesce(nullif(0, 0), 10)",
-    "soft_404": lambda d: f"SELECT page_id, {S.soft_404(d, 'title', 'content')} AS is_404 FROM ({page_rows(d)}) p",
-    "valid_content": lambda d: f"SELECT doc_id, {S.validity(d, 'text')[0]} AS valid, {S.validity(d, 'text')[1]} AS score FROM documents",
+    "soft_404": lambda d: f"SELECT page_id, {S.soft_404(d, 'title', 'content', 'words')} AS is_404 FROM ({page_rows(d)}) p",
+    "valid_content": lambda d: f"SELECT doc_id, {S.validity(d, 'text', 'n')[0]} AS valid, {S.validity(d, 'text', 'n')[1]} AS score FROM ({d.stage('SELECT doc_id, text FROM documents', {'n': d.n_words('text')})}) b",
     "admissible_url": admissible,
     # cleaning
     "clean_mojibake": _per_doc("cleaned", C.mojibake), "clean_boilerplate": _per_doc("cleaned", C.boilerplate), "clean_video": _per_doc("cleaned", C.video), "clean_entities": _page("cleaned", C.entities),

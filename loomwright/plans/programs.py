@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.dialect import DUCK, SPARK
 from loomwright.functions.html import extract_pages, nfc
-from loomwright.functions.scoring import level, overall
+from loomwright.functions.scoring import basis, level, overall
 from loomwright.operators import catalog
 from loomwright.operators.graph import crawl_order
 from loomwright.session import table
@@ -24,7 +24,7 @@ def curated(spark, sf_dir):
     rows = extract_pages(table(spark, sf_dir, "pages"))
     rows.createOrReplaceTempView("extracted_pages")
     host = catalog.C.url_host(SPARK, "url")
-    scored = SPARK.stage("SELECT page_id, url, title, content FROM extracted_pages", {"host": host, "score": overall(SPARK, "content", 30)})
+    scored = SPARK.stage(basis(SPARK, "SELECT page_id, url, title, content FROM extracted_pages", "content"), {"host": host, "score": overall(SPARK, "content", 30)})
     return spark.sql(f"SELECT page_id, host, title, score, {level('score')} AS level, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS position FROM ({scored}) s WHERE score >= 0.2")
 
 

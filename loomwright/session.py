@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, bytes_a_core: int = 32 << 20) -> DataFrame:
+    """df over all cores where it is too small to have a split for each (one row group is read by
+    one task). Larger inputs, by the planner's size, are left as they are: no shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_a_core else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for the few Python operators."""
     app = spark.sparkContext.applicationId

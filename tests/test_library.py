@@ -14,14 +14,14 @@ from loomwright.operators.graph import crawl_order
 from loomwright.sources import files
 
 
-def both(spark, make, text):
+def both(spark, make, text, source=lambda d: "fixture"):
     """The expression's value in both engines, which must agree."""
     spark.createDataFrame([(text,)], "text string").createOrReplaceTempView("fixture")
-    got = spark.sql(f"SELECT {make(SPARK, 'text')} AS v FROM fixture").first()["v"]
+    got = spark.sql(f"SELECT {make(SPARK, 'text')} AS v FROM {source(SPARK)}").first()["v"]
     con = duckdb.connect()
     con.execute("CREATE TABLE fixture (text VARCHAR)")
     con.execute("INSERT INTO fixture VALUES (?)", [text])
-    want = con.sql(f"SELECT {make(DUCK, 'text')} AS v FROM fixture").fetchall()[0][0]
+    want = con.sql(f"SELECT {make(DUCK, 'text')} AS v FROM {source(DUCK)}").fetchall()[0][0]
     assert got == pytest.approx(want) if isinstance(got, float) else got == want
     return got
 
@@ -41,21 +41,28 @@ def test_cleaning(spark, make, text, want):
 
 @pytest.mark.parametrize("n,want", [(19, 0), (20, 0.6), (49, 0.6), (50, 0.8), (99, 0.8), (100, 1), (2000, 1), (2001, 0.8), (5000, 0.8), (5001, 0.6), (10000, 0.6), (10001, 0.3), (50000, 0.3), (50001, 0.5)])
 def test_length_bands(spark, n, want):
-    assert both(spark, S.class_length, "w " * n) == pytest.approx(want)
+    assert both(spark, S.class_length, "w " * n, basis) == pytest.approx(want)
 
 
 def test_scores_in_range(spark):
     texts = ["", "short", "# Head\n\nSome text here. Another one!\n\n- item\n\n```js\nfunction f() {}\n```\n" * 4, "word " * 300, "...", "see more " * 30 + "…"]
     for t in texts:
         for make in (S.readability, S.completeness, S.technical, S.structure, S.overall, S.client_overall, S.class_structure, S.class_readability, S.class_technical, S.class_noise):
-            assert 0 <= (both(spark, make, t) or 0) <= 1
+            assert 0 <= (both(spark, make, t, basis) or 0) <= 1
     assert both(spark, S.structure, "plain prose") == pytest.approx(0.35)
-    assert both(spark, S.overall, None) == 0
+    assert both(spark, S.overall, None, basis) == 0
+
+
+def test_counts_of_whole_words(spark):
+    text = "Function functions myfunction class_x class.method API (api) apis f( _g2( 9h("
+    for i, n in ((0, 3), (1, 2), (6, 2)):
+        pattern, flags = S.TECHNICAL[i]
+        assert both(spark, lambda d, x: d.count(x, pattern, flags), text) == n
 
 
 @pytest.mark.parametrize("n,want", [(17, True), (20, True), (196, True), (300, False)])
 def test_soft_404(spark, n, want):
-    assert both(spark, lambda d, x: S.soft_404(d, "'t'", x), "404 not found " + "w " * n) is want
+    assert both(spark, lambda d, x: S.soft_404(d, "'t'", x, "n"), "404 not found " + "w " * n, basis) is want
 
 
 def test_html():
@@ -84,6 +91,10 @@ def test_files(spark, tmp_path):
     assert os.path.isdir(tmp_path / "out" / "source=s1")
 
 
+def basis(d):
+    return f"({S.basis(d, 'SELECT * FROM fixture', 'text')}) b"
+
+
 def value(v):
     return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
 
