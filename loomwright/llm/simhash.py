@@ -158,43 +158,125 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+ROWS_A_BAND, BANDS = 5, 24  # at a similarity of 0.8 two texts share a band with 1 - 7e-5, above it with more
+_MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ROWS_A_BAND * BANDS)], np.uint64)
+_ADD = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(ROWS_A_BAND * BANDS)], np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 hashes of the text's shingles, sorted (uint64)."""
+    w = (text or "").encode().lower().split()
+    grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minima; none for the empty set."""
+    if not len(hashes):
+        return []
+    low = np.full(len(_MIX), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for i in range(0, len(hashes), 4096):
+        h = hashes[i : i + 4096, None] * _MIX[None, :] + _ADD[None, :]
+        low = np.minimum(low, h.min(axis=0))
+    rows = low.reshape(BANDS, ROWS_A_BAND)
+    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), k)) for k, r in enumerate(rows)]
+
+
+def _prints(shingle):
+    def run(batches):
+        for b in slices(batches):
+            text = b.column("text").to_pylist()
+            fps = pa.array([_signed(fingerprint(t, shingle)) for t in text], pa.int64())
+            keys = pa.array([bands(shingle_set(t, shingle)) for t in text], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fps, keys], names=["doc_id", "text_key", "fp", "bands"])
+
+    return run
+
+
 def _shingle_sets(shingle):
     def run(batches):
         for b in slices(batches):
-            sets = []
-            for t in b.column("text").to_pylist():
-                w = (t or "").encode().lower().split()
-                grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
-                sets.append([_signed(xxhash.xxh64_intdigest(g)) for g in grams])
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sets, pa.list_(pa.int64()))], names=["k", "grams"])
 
     return run
 
 
+def _similar(keyed: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
+    """Those of the pairs (a, b: text keys) whose shingle sets have the Jaccard similarity."""
+    need = small(materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()))
+    grams = keyed.select(F.col("text_key").alias("k"), "text").join(need, "k", "left_semi").dropDuplicates(["k"])
+    grams = materialize(arrow_map(grams, _shingle_sets(shingle), "k long, grams array<long>"))
+    side = lambda c: grams.select(F.col("k").alias(c), F.col("grams").alias("grams_" + c))
+    common, either = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
+    held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), either.alias("sum"))
+    # both empty: equal texts without words
+    return materialize(held.where(F.col("common") >= (F.col("sum") - F.col("common")) * min_similarity).select("a", "b"))
+
+
+def _paired(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _banded_links(prints: DataFrame, keyed: DataFrame, first: DataFrame, shingle: int, min_similarity: float, stars: int = 3) -> DataFrame:
+    """Links (a, b) that hold, with the pairs `first` among the candidates: as components they
+    equal those of all pairs of texts in a common band.
+
+    Each band's members meet one leader (first the one with most company), and only bands whose
+    members are still in different components get another leader; after `stars` rounds all
+    pairs from different components that are left are checked. Pairs within a component could
+    change nothing, so a large group of near copies costs a star and no square.
+    """
+    texts = prints.groupBy("text_key").agg(F.first("bands").alias("bands"))
+    banded = texts.select(F.col("text_key").alias("k"), F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(banded.join(shared, "band"))
+    company = members.groupBy("k").agg(F.sum("n").alias("company"))
+    members = materialize(members.join(small(materialize(company)), "k").withColumn("root", F.col("k")))
+    held = None
+    done = first
+    for turn in range(stars + 1):
+        if turn < stars:
+            rank = F.struct("company", "k") if not turn else F.struct(F.xxhash64("k", F.lit(turn)), "k")
+            leader = members.groupBy("band").agg(F.max_by(F.struct("k", "root"), rank).alias("l"))
+            met = members.join(small(materialize(leader)), "band").where("root <> l.root").select(*_paired("k", "l.k"))
+        else:
+            x, y = members.select("band", F.col("k").alias("x"), F.col("root").alias("rx")), members.select("band", F.col("k").alias("y"), F.col("root").alias("ry"))
+            met = x.join(y, "band").where("x < y and rx <> ry").select(*_paired("x", "y"))
+        pairs = met.union(first).distinct() if not turn else met.distinct().join(done, ["a", "b"], "left_anti")
+        pairs = materialize(pairs)
+        if pairs.isEmpty():
+            continue
+        done = pairs if not turn else done.union(pairs)
+        found = _similar(keyed, pairs, shingle, min_similarity)
+        held = found if held is None else held.union(found)
+        groups = materialize(connected_components(held.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        now = members.drop("root").join(small(groups), F.col("k") == F.col("node"), "left").select("band", "k", "n", "company", F.coalesce("root", "k").alias("root"))
+        # a band of two has met; one component has nothing left to find
+        split = now.where("n > 2").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        members = materialize(now.join(split, "band", "left_semi"))
+    return done.limit(0) if held is None else held
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, with all columns of docs: the least doc_id.
 
-    Fingerprints of word shingles propose links between texts; a link holds if the Jaccard
-    similarity of the two texts' shingle sets is min_similarity or more (two texts without
-    words are equal). Groups are the components of the links that hold. A null doc_id stays
-    only in a group without others; of rows equal in doc_id and text one stays.
+    Links are proposed by fingerprints within two bits (Golay keys) and, because texts of
+    similarity 0.8 differ in about 10 of 64 bits, by bands of minima of the shingle hashes; a
+    link holds if the Jaccard similarity of the two texts' shingle sets is min_similarity or
+    more (two texts without words are equal). Groups are the components of the links that hold.
+    A null doc_id stays only in a group without others; of rows equal in doc_id and text one stays.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", key.alias("text_key"), "text")
-    prints = materialize(arrow_map(keyed, _fingerprints(shingle), "doc_id long, text_key long, fp long"))
+    prints = materialize(arrow_map(keyed, _prints(shingle), "doc_id long, text_key long, fp long, bands array<long>"))
     texts = materialize(prints.groupBy("fp", "text_key").agg(F.count("*").alias("n")))
     fps = materialize(texts.groupBy("fp").agg(F.min("text_key").alias("rep"), F.count("*").alias("texts")))
-    same = texts.join(fps.where("texts > 1").select("fp", "rep"), "fp").where("text_key <> rep").select(F.col("rep").alias("a"), F.col("text_key").alias("b"))
+    same = texts.join(fps.where("texts > 1").select("fp", "rep"), "fp").where("text_key <> rep").select(*_paired("rep", "text_key"))
     linked = materialize(links(fps))
     rep = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(c + "_rep"))
-    other = linked.join(rep("src"), "src").join(rep("dst"), "dst").select(F.col("src_rep").alias("a"), F.col("dst_rep").alias("b"))
-    pairs = materialize(same.union(other))
-    need = small(materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()))
-    grams = keyed.select(F.col("text_key").alias("k"), "text").join(need, "k", "left_semi")
-    grams = materialize(arrow_map(grams, _shingle_sets(shingle), "k long, grams array<long>").groupBy("k").agg(F.first("grams").alias("grams")))
-    side = lambda c: grams.select(F.col("k").alias(c), F.col("grams").alias("grams_" + c))
-    common, either = F.size(F.array_intersect("grams_a", "grams_b")), F.size(F.array_union("grams_a", "grams_b"))
-    held = pairs.join(side("a"), "a").join(side("b"), "b").where(common >= either * min_similarity)
+    other = linked.join(rep("src"), "src").join(rep("dst"), "dst").select(*_paired("src_rep", "dst_rep"))
+    held = _banded_links(prints, keyed, materialize(same.union(other)), shingle, min_similarity)
     groups = connected_components(held.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     ids = prints.groupBy("text_key", "doc_id").agg(F.count("*").alias("n"))
     grouped = materialize(ids.join(small(materialize(groups)), F.col("text_key") == F.col("node"), "left").select("doc_id", "text_key", "n", F.coalesce("root", "text_key").alias("root")))

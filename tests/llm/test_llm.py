@@ -88,6 +88,36 @@ def test_simhash_brute_force(spark, docs, none, sf_dir):
     assert ids[5] == 1 and not ids[6] and not ids[7] and ids[0] == 1 and not ids[1] and ids[4] == 1 and not ids[None]
 
 
+def test_keep_one_brute_force(spark):
+    """Near copies of similarity 0.7 to 1, and a group of 150 that meets in few bands or many."""
+    r = random.Random(11)
+    edit = lambda t, n: " ".join(r.choice(WORDS) + "x" if i in at else w for at in [set(r.sample(range(len(t.split())), n))] for i, w in enumerate(t.split()))
+    texts = []
+    for _ in range(60):
+        base = prose(r.randint(40, 300))
+        texts += [base] + [edit(base, r.randint(1, 1 + len(base.split()) // 25)) for _ in range(r.randint(0, 3))]
+    hub = prose(300)
+    texts += [edit(hub, 4) for _ in range(150)] + [hub + " " + prose(400) for _ in range(30)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted({find(i) for i in range(len(texts))})
+    assert len(want) < len(texts) - 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == want
+
+
 def test_bpe_equals_library(spark, docs, none):
     ranks = bpe.read_ranks(RANKS)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
