@@ -37,7 +37,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with the package shipped to the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:  # workers are reused: give back what this task's batches took
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import arrow_map, connected_components, materialize, slices, small
 
 TAU, MIN_CHARS = 2, 12
+KEYED_BYTES = 1_000_000  # of text at a time: its keys take about 40 times as much
 
 
 def normal(line: str) -> str:
@@ -41,7 +42,7 @@ def line_id(line: str) -> int:
 
 def _lines(batches):
     names = ["doc_id", "text_key", "pos", "lid", "line"]
-    for b in slices(batches):
+    for b in slices(batches, most=KEYED_BYTES):
         cols: list[list] = [[], [], [], [], []]
         for i, k, t in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), b.column("text").to_pylist()):
             for p, line in enumerate((t or "").split("\n")):
@@ -81,7 +82,7 @@ def _found(batches):
         if "line" in b.schema.names:
             yield zip(b.column("lid").to_pylist(), b.column("line").to_pylist())
             continue
-        for part in slices([b]):
+        for part in slices([b], most=KEYED_BYTES):
             lines = (normal(line) for t in part.column("text").to_pylist() for line in (t or "").split("\n"))
             yield [(line_id(line), line) for line in lines if len(line) >= MIN_CHARS]
 

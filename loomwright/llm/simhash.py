@@ -37,24 +37,34 @@ SEGMENTS = ((41, 23), (18, 23), (0, 18))  # shift and width
 _BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the text's shingles in their order, repeats included (uint64)."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        h = np.array([hashed(joined, SEED)], np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = np.concatenate(([0], gaps + 1))[: len(words) - shingle + 1].tolist()
-        ends = np.concatenate((gaps, [len(joined)]))[shingle - 1 :].tolist()
-        h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+        return np.array([hashed(joined, SEED)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = np.concatenate(([0], gaps + 1))[: len(words) - shingle + 1].tolist()
+    ends = np.concatenate((gaps, [len(joined)]))[shingle - 1 :].tolist()
+    return np.fromiter((hashed(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of the hashes; 0 without any."""
+    if not len(h):
+        return 0
     octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -163,13 +173,6 @@ _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ROWS
 _ADD = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(ROWS_A_BAND * BANDS)], np.uint64)
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct XXH64 hashes of the text's shingles, sorted (uint64)."""
-    w = (text or "").encode().lower().split()
-    grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
-
-
 def bands(hashes: np.ndarray) -> list[int]:
     """A key for each band of minima; none for the empty set."""
     if not len(hashes):
@@ -184,19 +187,21 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def _prints(shingle):
     def run(batches):
-        for b in slices(batches):
-            text = b.column("text").to_pylist()
-            fps = pa.array([_signed(fingerprint(t, shingle)) for t in text], pa.int64())
-            keys = pa.array([bands(shingle_set(t, shingle)) for t in text], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fps, keys], names=["doc_id", "text_key", "fp", "bands"])
+        for b in slices(batches, most=1_000_000):
+            fps, keys = [], []
+            for t in b.column("text").to_pylist():
+                h = shingle_hashes(t, shingle)
+                fps.append(_signed(majority(h)))
+                keys.append(bands(np.unique(h)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fp", "bands"])
 
     return run
 
 
 def _shingle_sets(shingle):
     def run(batches):
-        for b in slices(batches):
-            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
+        for b in slices(batches, most=1_000_000):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sets, pa.list_(pa.int64()))], names=["k", "grams"])
 
     return run
