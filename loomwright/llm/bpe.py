@@ -27,6 +27,7 @@ from loomwright.llm.common import arrow_map, slices
 
 LONG = 400
 CACHE = 300_000
+BATCH_BYTES = 100_000  # of pieces in one recursive query, which holds every step of them
 # \\s as the pattern's own library reads it: Unicode White_Space
 _S = r"\t-\r \x85\xa0  -     　"
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"  # letters, numbers below U+0250
@@ -39,6 +40,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _batched(names: list[str], parts: dict[str, bytes]):
+    """The names in runs of about BATCH_BYTES of their parts."""
+    batch, held = [], 0
+    for p in names:
+        batch.append(p)
+        held += len(parts[p])
+        if held >= BATCH_BYTES:
+            yield batch
+            batch, held = [], 0
+    if batch:
+        yield batch
+
+
 class Coder:
     """Encodes and decodes with the ranks; one for each worker process."""
 
@@ -51,7 +65,7 @@ class Coder:
         self.public = pattern == PUBLIC
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '600MB'; SET enable_progress_bar = false; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '300MB'; SET enable_progress_bar = false; SET preserve_insertion_order = false")
         l, r, m = (pa.array(c, pa.int32()) for c in zip(*merges))
         merge_rows = pa.table({"l": l, "r": r, "m": m})
         vocab_rows = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]})
@@ -77,10 +91,9 @@ class Coder:
                 ids[p] = heap_merge(raw, whole)
             else:
                 parts[p] = raw
-        names = list(parts)
-        if names:
-            for w, got in self._merge([parts[p] for p in names]):
-                ids[names[w]] = got
+        for batch in _batched(sorted(parts, key=len), parts):
+            for w, got in self._merge([parts[p] for p in batch]):
+                ids[batch[w]] = got
         names = list(ids)
         for w, raw in self.decode([ids[p] for p in names]):
             p = names[w]
