@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line (within two edits) go; no document goes."""
-    return line_dedup.dedup_lines(docs)
+    """Lines that repeat an earlier line go (equal ones of any length, long ones within two edits); no document goes."""
+    return line_dedup.dedup_lines(docs, least=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

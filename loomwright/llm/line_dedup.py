@@ -1,7 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are normalised (single blanks, no blanks at the ends). Two different lines of at least
-MIN_CHARS characters are linked if their edit distance is at most tau. A line is cut into
+Lines are normalised (single blanks, no blanks at the ends). Equal lines of any length are one
+class by their hash. Two different lines of at least MIN_CHARS characters are also linked if
+their edit distance is at most tau (most lines of a few characters are within two edits of each
+other, so shorter lines have no inexact links). A line is cut into
 tau + 1 segments; of a line within tau edits at least one segment is a substring of the other
 line near its own place. Index rows have (length, segment number, segment); probe rows have the
 substrings that the multi-match-aware windows allow, for each length from own - tau to own.
@@ -10,10 +12,11 @@ bits) drops most false candidates inside the join condition, and a banded bit-pa
 distance verifies the rest. Linked and equal lines form classes (components); the first line of
 a class, by doc_id and position, stays and the others go.
 
-Defined cases: null text has no lines; lines without a word or under MIN_CHARS characters are
-never removed; null doc_id comes last; rows equal in doc_id and text are one document: they get
-the same verdict and do not remove each other's lines; an empty table gives an empty result;
-other columns are ignored by `removals` and kept by `dedup_lines`.
+Defined cases: null text has no lines; lines without a word are never removed, and by
+`dedup_lines` none under its `least` characters; null doc_id comes last; rows equal in doc_id
+and text are one document: they get the same verdict and do not remove each other's lines; an
+empty table gives an empty result; other columns are ignored by `removals` and kept by
+`dedup_lines`.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import arrow_map, connected_components, materialize, slices, small
 
-TAU, MIN_CHARS = 2, 12
+TAU, MIN_CHARS = 2, 12  # MIN_CHARS bounds the inexact links only
 KEYED_BYTES = 1_000_000  # of text at a time: its keys take about 40 times as much
 
 
@@ -40,17 +43,20 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
-def _lines(batches):
-    names = ["doc_id", "text_key", "pos", "lid", "line"]
-    for b in slices(batches, most=KEYED_BYTES):
-        cols: list[list] = [[], [], [], [], []]
-        for i, k, t in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), b.column("text").to_pylist()):
-            for p, line in enumerate((t or "").split("\n")):
-                line = normal(line)
-                if len(line) >= MIN_CHARS:
-                    for c, v in zip(cols, (i, k, p, line_id(line), line)):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=names)
+def _lines(least):
+    def run(batches):
+        names = ["doc_id", "text_key", "pos", "lid", "line"]
+        for b in slices(batches, most=KEYED_BYTES):
+            cols: list[list] = [[], [], [], [], []]
+            for i, k, t in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), b.column("text").to_pylist()):
+                for p, line in enumerate((t or "").split("\n")):
+                    line = normal(line)
+                    if len(line) >= least:
+                        for c, v in zip(cols, (i, k, p, line_id(line), line)):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=names)
+
+    return run
 
 
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
@@ -77,10 +83,10 @@ def sketch(raw: bytes) -> int:
 
 
 def _found(batches):
-    """(lid, line) lists: from columns of these names, or split from texts on the spot."""
+    """(lid, line) lists of the lines that inexact links can reach: from columns of these names, or split from texts on the spot."""
     for b in batches:
         if "line" in b.schema.names:
-            yield zip(b.column("lid").to_pylist(), b.column("line").to_pylist())
+            yield [(i, line) for i, line in zip(b.column("lid").to_pylist(), b.column("line").to_pylist()) if len(line) >= MIN_CHARS]
             continue
         for part in slices([b], most=KEYED_BYTES):
             lines = (normal(line) for t in part.column("text").to_pylist() for line in (t or "").split("\n"))
@@ -186,12 +192,13 @@ def link_lines(lines: DataFrame, tau: int = TAU, texts: DataFrame | None = None)
     return materialize(arrow_map(pairs.join(text("a"), "a").join(text("b"), "b"), _verify(tau), "a long, b long"))
 
 
-def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
+def removals(docs: DataFrame, tau: int = TAU, least: int = 1) -> DataFrame:
     """A row for each document with lines: doc_id, text_key, n_lines, n_links, removed (positions).
 
+    least: lines of fewer characters do not count and stay; 1 takes all lines with a word.
     The texts are split anew in each pass over them: that costs less than to write the lines."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    lines = arrow_map(keyed, _lines, "doc_id long, text_key long, pos int, lid long, line string")
+    lines = arrow_map(keyed, _lines(least), "doc_id long, text_key long, pos int, lid long, line string")
     rows = materialize(lines.drop("line"))
     linked = link_lines(lines, tau, keyed)
     degree = linked.select(F.col("a").alias("lid")).union(linked.select("b")).groupBy("lid").agg(F.count("*").alias("links"))
@@ -216,8 +223,8 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
                       F.when(n > 0, n).otherwise(0).cast("long").alias("n_removed"), F.sha2(F.coalesce("_lw_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def _without(docs: DataFrame, tau: int, more: list[str]) -> DataFrame:
-    per = removals(docs, tau)
+def _without(docs: DataFrame, tau: int, more: list[str], least: int = 1) -> DataFrame:
+    per = removals(docs, tau, least)
     per = small(materialize(per.select(F.col("doc_id").alias("_lw_id"), F.col("text_key").alias("_lw_key"), F.col("removed").alias("_lw_removed"), *more)))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     out = docs.join(per, docs["doc_id"].eqNullSafe(per["_lw_id"]) & (key == per["_lw_key"]), "left")
@@ -225,8 +232,10 @@ def _without(docs: DataFrame, tau: int, more: list[str]) -> DataFrame:
     return out.withColumn("_lw_text", F.when(F.size("_lw_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """docs with all its rows and columns, without the lines that repeat an earlier one."""
-    out = _without(docs, tau, [])
+def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+    """docs with all its rows and columns, without the lines that repeat an earlier one.
+
+    Lines under `least` characters stay; the pipeline gives 1, so that equal lines of any length go."""
+    out = _without(docs, tau, [], least)
     n_chars = {"n_chars": F.when(F.size("_lw_removed") > 0, F.length("_lw_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return out.withColumns({**n_chars, "text": F.col("_lw_text")}).select(*docs.columns)

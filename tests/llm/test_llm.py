@@ -208,6 +208,18 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_short_lines(spark):
+    """Equal lines of any length go but for the first; short lines have no inexact links."""
+    import corpus_pipeline
+
+    texts = [(1, "Les.\nMenu\n" + " \n日本\n\nLes"), (2, "Menu \nLes.\nLes!\n\nx"), (3, " Les.\nx\nx\n日本\n"), (4, "Menu\n \n")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, d, None).collect()}
+    assert out == {1: texts[0][1], 2: "Les!\n\nx", 3: "", 4: " \n"}
+    got = {r["doc_id"]: (r["n_lines"], r["n_links"], r["n_removed"]) for r in line_dedup.line_report(d).collect()}
+    assert got == {1: (4, 0, 0), 2: (4, 0, 2), 3: (4, 0, 4), 4: (1, 0, 1)}
+
+
 def test_mixing(spark, docs, none, sf_dir):
     for d in (docs, table(spark, sf_dir, "documents")):
         got = mixing.plan_mix(d, block=64).collect()
