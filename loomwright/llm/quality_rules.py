@@ -2,7 +2,9 @@
 
 Lines are normalised (lower case, single blanks, digits to 0) and hashed. For each host
 (`source`) the distinct texts that hold a line are counted; a line in more texts than
-max(min_docs, share x the host's documents) is over the limit and is removed. A document that
+max(min_docs, min(max_docs, share x the host's distinct texts)) is over the limit and is removed:
+copies count once on both sides, and max_docs keeps the share from growing out of reach on a
+large host. A document that
 loses lines and keeps fewer than min_words_left words, or less than min_share_left of its
 words, is depleted and rejected.
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import arrow_map, doc_key, materialize, out_batch, slices, small
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
+MAX_DOCS = 100  # different texts of a host that may hold a line, however large the host
 MIN_DOCS, HOST_SHARE, MIN_WORDS_LEFT, MIN_SHARE_LEFT = 20, 0.10, 20, 0.30
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 _DIGIT = re.compile(r"\d")
@@ -95,13 +98,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return doc_key(docs.select("doc_id", "text", "source")).select("doc_id", host.alias("host"), "text_key", "text")
 
 
-def assess(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> tuple[DataFrame, DataFrame]:
+def assess(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """(a verdict for each row with its text_key, the lines over the limit: doc_id, text_key, removed)."""
     base = materialize(arrow_map(_keyed(docs), _base, BASE).withColumn("uid", F.monotonically_increasing_id()))
     lines = base.select("uid", "doc_id", "host", "text_key", F.explode("lines").alias("l")).select("uid", "doc_id", "host", "text_key", "l.h", "l.w")
     counted = lines.groupBy("host", "h", "text_key").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    hosts = base.groupBy("host").agg(F.count("*").alias("docs"))
-    frequent = materialize(counted.join(hosts, "host").where(F.col("n") > F.col("docs") * host_share).select("host", "h"))
+    hosts = base.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
+    frequent = materialize(counted.join(hosts, "host").where(F.col("n") > F.least(F.col("texts") * host_share, F.lit(float(max_docs)))).select("host", "h"))
     over = lines.join(small(frequent), ["host", "h"]).groupBy("uid", "doc_id", "text_key").agg(F.collect_set("h").alias("removed"), F.sum("w").alias("lost"))
     over = materialize(over)
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
@@ -129,9 +132,9 @@ def _drop_lines(batches):
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """The kept documents without their lines over the limit, with all columns of docs."""
-    verdict, over = assess(docs, min_docs, host_share)
+    verdict, over = assess(docs, min_docs, host_share, max_docs)
     bad = small(materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_lw_id"), F.col("text_key").alias("_lw_key")).distinct()))
     over = small(materialize(over.toDF("_lw_id", "_lw_key", "_lw_removed")))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -141,7 +144,7 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = H
     return arrow_map(kept, _drop_lines, docs.schema)
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    verdict, _ = assess(docs, min_docs, host_share)
+    verdict, _ = assess(docs, min_docs, host_share, max_docs)
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lines_words_removed").cast("long").alias("words_removed"))

@@ -181,6 +181,16 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.verdicts(none).count() == 0 and quality_rules.apply_rules(docs).columns == docs.columns
 
 
+def test_quality_rules_skewed_hosts(spark):
+    """Copies count once on both sides of the limit, and a large host's share has an upper bound."""
+    bad = "a line of many pages"
+    own = lambda host, n, m: [(f"{bad}\n{prose(30)} {i}" if i < m else f"{prose(30)} {i}", host) for i in range(n)]
+    texts = own("copies", 210, 30) + [(NEAR, "copies")] * 200 + own("large", 1200, 110) + own("rare", 1200, 90)
+    d = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(texts)], "doc_id long, text string, source string")
+    held = Counter(r["source"] for r in quality_rules.apply_rules(d).collect() if bad in r["text"])
+    assert held == {"rare": 90}
+
+
 def test_line_dedup(spark, docs, none):
     def distance(a, b):
         p = list(range(len(b) + 1))
