@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from loomwright.session import shared_dir
 
 
+def _events(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The event table as a file stream: a folder of part files by its own path, a single file by its name."""
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def new_events(spark: SparkSession, sf_dir: str, minutes: str = "365 days") -> DataFrame:
     """The event ids of a file stream, each once: state is bounded by the watermark."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = _events(spark, sf_dir)
     out = f"{shared_dir(spark)}/loomwright/stream-{uuid.uuid4().hex}"
     once = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", minutes).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
     query = once.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
@@ -23,8 +32,7 @@ def new_events(spark: SparkSession, sf_dir: str, minutes: str = "365 days") -> D
 
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums by event type, merged batch after batch (foreachBatch); one file a trigger."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    stream = _events(spark, sf_dir, maxFilesPerTrigger=1)
     out = f"{shared_dir(spark)}/loomwright/stream-{uuid.uuid4().hex}"
 
     def merge(batch: DataFrame, epoch: int) -> None:

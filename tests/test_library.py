@@ -6,12 +6,15 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomwright.functions import cleaning as C
 from loomwright.functions import html
 from loomwright.functions import scoring as S
 from loomwright.functions.dialect import DUCK, SPARK
 from loomwright.operators.graph import crawl_order
 from loomwright.sources import files
+from loomwright.streaming import curate
 
 
 def both(spark, make, text, source=lambda d: "fixture"):
@@ -91,6 +94,15 @@ def test_files(spark, tmp_path):
     assert os.path.isdir(tmp_path / "out" / "source=s1")
 
 
+def test_streams_read_folders_and_files(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want = {r["event_type"]: r["n"] for r in events.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
+    for d in (sf_dir, str(tmp_path)):
+        assert curate.new_events(spark, d).count() == events.select("event_id").distinct().count()
+        assert {r["event_type"]: r["n"] for r in curate.running_totals(spark, d).collect()} == want
+
+
 def basis(d):
     return f"({S.basis(d, 'SELECT * FROM fixture', 'text')}) b"
 
