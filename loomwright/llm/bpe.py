@@ -1,33 +1,41 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
-Texts are cut by the public pattern; pieces that a worker has not seen yet go to DuckDB in one
-batch. There the state is a table of token positions; each step of a recursive query joins the
+Texts are cut by the public pattern; pieces that a task has not seen yet go to DuckDB in
+batches. There the state is a table of token positions; each step of a recursive query joins the
 neighbouring tokens with the merge table and contracts, in every piece, the leftmost pair of
 least rank, until no pair is left. An ordered aggregation gives the ids of a piece, another
 decodes ids to bytes. The merge table has every split of every token into two tokens, so a pair
-merges exactly if its bytes are a token, as the tiktoken library does it. Pieces over
-`LONG` bytes are contracted in the same order by a heap, because a step for each contraction
-of a huge piece would be quadratic.
-
-Defined cases: null text is the empty text (no tokens, hashes of nothing); equal rows give
-equal rows; an empty table gives an empty result; other columns are ignored.
+merges exactly if its bytes are a token, as the tiktoken library does it. It is made once on
+the driver and travels as two arrays.
+
+A step for each contraction would be quadratic in a piece of many kilobytes, so pieces over
+`STEPPED` bytes take a second recursive query (`RUNS`). Its step contracts, from the left, all
+occurrences of a piece's least pair up to the first whose contraction makes a pair of lower
+rank: until then the leftmost pair of least rank is always the next of them, so the order is
+that of single contractions. It keeps only the newest state of each position.
+
+Defined cases: null text is the empty text (no tokens, hashes of nothing); a very long text is
+cut into pieces like any other and one huge piece is a table of its positions in one task; ties
+of rank go to the leftmost pair; equal rows give equal rows; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
-import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomwright.llm.common import arrow_map, slices
 
-LONG = 400
-CACHE = 300_000
-BATCH_BYTES = 100_000  # of pieces in one recursive query, which holds every step of them
+STEPPED = 400
+CACHE = 150_000  # pieces in each of the two generations of the cache
+BATCH_BYTES = 200_000  # of pieces in one recursive query, which holds every step of them
 # \\s as the pattern's own library reads it: Unicode White_Space
 _S = r"\t-\r \x85\xa0  -     　"
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"  # letters, numbers below U+0250
@@ -40,12 +48,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _batched(names: list[str], parts: dict[str, bytes]):
-    """The names in runs of about BATCH_BYTES of their parts."""
+def merge_table(ranks: dict[bytes, int]) -> pa.Table:
+    """pair (left id << 17 | right id) and m, the id of both together: every split of every token."""
+    rows = [(ranks[t[:i]] << 17 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    return pa.table({"pair": pa.array([p for p, _ in rows], pa.int64()), "m": pa.array([m for _, m in rows], pa.int32())})
+
+
+def _batched(raws: list[bytes]):
+    """The pieces in runs of about BATCH_BYTES."""
     batch, held = [], 0
-    for p in names:
-        batch.append(p)
-        held += len(parts[p])
+    for raw in raws:
+        batch.append(raw)
+        held += len(raw)
         if held >= BATCH_BYTES:
             yield batch
             batch, held = [], 0
@@ -53,25 +67,79 @@ def _batched(names: list[str], parts: dict[str, bytes]):
         yield batch
 
 
+# q: where the neighbour begins; m: the rank of the pair that begins at p; i: the step
+STEPS = """
+    WITH RECURSIVE step AS (
+        SELECT 0 AS i, a.w, a.p, a.p + 1 AS q, a.tok, a.nxt, m.m FROM piece_rows a LEFT JOIN merges m ON m.pair = (a.tok::BIGINT << 17 | a.nxt)
+        UNION ALL
+        SELECT n.i, n.w, n.p, n.q, n.tok, n.nxt, CASE WHEN n.pair IS NULL THEN n.m ELSE m.m END FROM (
+            SELECT s.i + 1 AS i, s.w, s.q, s.m,
+                   CASE WHEN s.p = b.q THEN b.p ELSE s.p END AS p,
+                   CASE WHEN s.p = b.q THEN b.m ELSE s.tok END AS tok,
+                   CASE WHEN s.q = b.p THEN b.m ELSE s.nxt END AS nxt,
+                   CASE WHEN s.p = b.q THEN b.m << 17 | s.nxt WHEN s.q = b.p THEN s.tok::BIGINT << 17 | b.m END AS pair
+            FROM step s JOIN (
+                SELECT w, least >> 16 AS m, least & 65535 AS p, q FROM (
+                    SELECT w, min(m::BIGINT << 16 | p) AS least, arg_min(q, m::BIGINT << 16 | p) AS q FROM step WHERE m IS NOT NULL GROUP BY w)
+            ) b ON b.w = s.w WHERE s.p <> b.p
+        ) n LEFT JOIN merges m ON m.pair = n.pair
+    ), last AS (SELECT w, max(i) AS i FROM step GROUP BY w), ended AS (SELECT s.w, s.p, s.tok FROM step s JOIN last USING (w, i))
+"""
+# prv: the token before; x, y: the tokens on both sides of a contraction when its turn comes; tok -1: the position is gone
+RUNS = """
+    WITH RECURSIVE step(w, p, q, prv, tok, nxt, m) USING KEY (w, p) AS (
+        SELECT a.w, a.p, a.p + 1, a.prv, a.tok, a.nxt, m.m FROM piece_rows a LEFT JOIN merges m ON m.pair = (a.tok::BIGINT << 17 | a.nxt)
+        UNION
+        (WITH live AS MATERIALIZED (SELECT * FROM recurring.step WHERE tok >= 0),
+        best AS (SELECT w, min(m) AS r FROM live GROUP BY w HAVING min(m) IS NOT NULL),
+        found AS (SELECT l.*, b.r, lag(l.q) OVER (PARTITION BY l.w ORDER BY l.p) AS before FROM live l JOIN best b ON b.w = l.w AND b.r = l.m),
+        runs AS (SELECT *, sum(CASE WHEN before = p THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY p) AS run FROM found),
+        apart AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY p) % 2 = 1),
+        ends AS (SELECT o.w, o.p, o.q, o.prv, o.r, n.q AS q2, n.nxt AS y FROM apart o JOIN live n ON n.w = o.w AND n.p = o.q),
+        turns AS MATERIALIZED (SELECT *, CASE WHEN lag(q2) OVER (PARTITION BY w ORDER BY p) = p THEN r ELSE prv END AS x FROM ends),
+        cut AS (SELECT w, min(p) AS upto FROM (
+            SELECT t.w, t.p FROM turns t JOIN merges m ON m.pair = (t.x::BIGINT << 17 | t.r) WHERE t.x >= 0 AND m.m < t.r
+            UNION ALL SELECT t.w, t.p FROM turns t JOIN merges m ON m.pair = (t.r::BIGINT << 17 | t.y) WHERE t.y >= 0 AND m.m < t.r) GROUP BY w),
+        taken AS MATERIALIZED (SELECT t.* FROM turns t LEFT JOIN cut c ON c.w = t.w WHERE c.upto IS NULL OR t.p <= c.upto),
+        changed AS (
+            SELECT t.w, t.p, t.q2 AS q, t.x AS prv, t.r AS tok, CASE WHEN n.p IS NULL THEN t.y ELSE t.r END AS nxt FROM taken t LEFT JOIN taken n ON n.w = t.w AND n.p = t.q2
+            UNION ALL SELECT w, q, q, -1, -1, -1 FROM taken
+            UNION ALL SELECT l.w, l.p, l.q, coalesce(a.r, l.prv), l.tok, coalesce(b.r, l.nxt)
+            FROM live l LEFT JOIN taken a ON a.w = l.w AND a.q2 = l.p LEFT JOIN taken b ON b.w = l.w AND b.p = l.q
+            LEFT JOIN taken c ON c.w = l.w AND c.p = l.p LEFT JOIN taken d ON d.w = l.w AND d.q = l.p
+            WHERE (a.r IS NOT NULL OR b.r IS NOT NULL) AND c.p IS NULL AND d.q IS NULL)
+        SELECT c.w, c.p, c.q, c.prv, c.tok, c.nxt, m.m FROM changed c LEFT JOIN merges m ON m.pair = CASE WHEN c.tok >= 0 AND c.nxt >= 0 THEN c.tok::BIGINT << 17 | c.nxt END)
+    ), ended AS (SELECT w, p, tok FROM step WHERE tok >= 0)
+"""
+# ordered aggregations: the ids of each piece, and the bytes that they stand for
+ENDED = """
+    SELECT e.w, string_agg(e.tok::VARCHAR, ' ' ORDER BY e.p) AS ids, string_agg(v.raw, '' ORDER BY e.p) AS raw
+    FROM ended e JOIN vocab v ON v.id = e.tok GROUP BY e.w
+"""
+
+
 class Coder:
-    """Encodes and decodes with the ranks; one for each worker process."""
+    """Encodes and decodes with the ranks; one for each task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], merges: pa.Table, pattern: str):
         import duckdb
         import regex
 
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.ids, self.raws, self.old = ranks, {}, {}, ({}, {})
         self.any = regex.compile(pattern.replace(r"\s", "\0").replace("[^\0", f"[^{_S}").replace("\0", f"[{_S}]").replace(r"(?!\S)", f"(?![^{_S}])"))
         self.public = pattern == PUBLIC
-        merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.one = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '300MB'; SET enable_progress_bar = false; SET preserve_insertion_order = false")
-        l, r, m = (pa.array(c, pa.int32()) for c in zip(*merges))
-        merge_rows = pa.table({"l": l, "r": r, "m": m})
-        vocab_rows = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]})
-        self.db.register("merge_rows", merge_rows)
-        self.db.register("vocab_rows", vocab_rows)
-        self.db.execute("CREATE TABLE merges AS SELECT l, r, m FROM merge_rows; CREATE TABLE vocab AS SELECT id, raw FROM vocab_rows")
+        self.db.register("merge_rows", merges)
+        self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]}))
+        self.db.execute("CREATE TABLE merges AS SELECT pair, m FROM merge_rows; CREATE TABLE vocab AS SELECT id, raw FROM vocab_rows")
+        self.db.unregister("merge_rows")
+        self.db.unregister("vocab_rows")
+
+    def close(self) -> None:
+        self.db.close()
+        self.ids, self.raws, self.old = {}, {}, ({}, {})
 
     def split(self, text: str) -> list[str]:
         if self.public and not _HIGH.search(text):
@@ -79,167 +147,131 @@ class Coder:
         return self.any.findall(text)
 
     def learn(self, pieces: set[str]) -> None:
-        """Put the pieces into the cache: ids as text, their number, the decoded bytes."""
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
-        whole, parts, ids = self.ranks, {}, {}
+        """Put the pieces into the cache: ids as text, the decoded bytes."""
+        whole, raws = [], []
         for p in pieces:
             raw = p.encode()
-            if raw in whole:
-                ids[p] = [whole[raw]]
-            elif len(raw) > LONG:
-                ids[p] = heap_merge(raw, whole)
-            else:
-                parts[p] = raw
-        for batch in _batched(sorted(parts, key=len), parts):
-            for w, got in self._merge([parts[p] for p in batch]):
-                ids[batch[w]] = got
-        names = list(ids)
-        for w, raw in self.decode([ids[p] for p in names]):
-            p = names[w]
-            self.cache[p] = (" ".join(map(str, ids[p])), len(ids[p]), raw)
-
-    def _merge(self, raws: list[bytes]) -> list[tuple[int, list[int]]]:
-        one = [self.ranks[bytes([i])] for i in range(256)]
-        w, p, tok, nxt = [], [], [], []
-        for i, raw in enumerate(raws):
-            t = [one[c] for c in raw]
-            w += [i] * len(t)
-            p += range(len(t))
-            tok += t
-            nxt += t[1:]
-            nxt.append(-1)
-        rows = pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "tok": pa.array(tok, pa.int32()), "nxt": pa.array(nxt, pa.int32())})
-        self.db.register("piece_rows", rows)
-        # q: where the neighbour begins; m: the rank of the pair that begins at p
-        got = self.db.execute("""
-            WITH RECURSIVE step AS (
-                SELECT 0 AS i, a.w, a.p, a.p + 1 AS q, a.tok, a.nxt, m.m FROM piece_rows a LEFT JOIN merges m ON m.l = a.tok AND m.r = a.nxt
-                UNION ALL
-                SELECT n.i, n.w, n.p, n.q, n.tok, n.nxt, m.m FROM (
-                    SELECT s.i + 1 AS i, s.w,
-                           CASE WHEN s.p = b.q THEN b.p ELSE s.p END AS p, s.q,
-                           CASE WHEN s.p = b.q THEN b.m ELSE s.tok END AS tok,
-                           CASE WHEN s.q = b.p THEN b.m ELSE s.nxt END AS nxt
-                    FROM step s JOIN (
-                        SELECT w, least // 65536 AS m, least % 65536 AS p, q FROM (
-                            SELECT w, min(m::BIGINT * 65536 + p) AS least, arg_min(q, m::BIGINT * 65536 + p) AS q FROM step WHERE m IS NOT NULL GROUP BY w)
-                    ) b ON b.w = s.w WHERE s.p <> b.p
-                ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.nxt
-            ), last AS (SELECT w, max(i) AS i FROM step GROUP BY w)
-            SELECT s.w, list(s.tok ORDER BY s.p) AS ids FROM step s JOIN last USING (w, i) GROUP BY s.w
-        """).fetchall()
-        self.db.unregister("piece_rows")
+            (whole if raw in self.ranks else raws).append(raw)
+        self._keep(whole, self.decode([[self.ranks[raw]] for raw in whole]), [str(self.ranks[raw]) for raw in whole])
+        raws.sort(key=len)
+        cut = bisect.bisect_right(raws, STEPPED, key=len)
+        for query, part in ((STEPS, raws[:cut]), (RUNS, raws[cut:])):
+            for batch in _batched(part):
+                got = self._rows(query + ENDED, "piece_rows", self._positions(batch))
+                at = got.column("w").to_pylist()
+                self._keep([batch[w] for w in at], zip(range(len(at)), (r.encode("latin-1") for r in got.column("raw").to_pylist())), got.column("ids").to_pylist())
+
+    def _recall(self, pieces: set[str]) -> None:
+        """Have the pieces in the young generation: from the old one, or learnt. A full young one becomes the old."""
+        if len(new := pieces - self.ids.keys()) + len(self.ids) > CACHE:
+            self.old, self.ids, self.raws, new = (self.ids, self.raws), {}, {}, pieces
+        ids, raws = self.old
+        for p in new & ids.keys():
+            self.ids[p], self.raws[p] = ids.pop(p), raws.pop(p)
+        if new := new - self.ids.keys():
+            self.learn(new)
+
+    def _keep(self, raws: list[bytes], decoded, ids: list[str]) -> None:
+        names = [raw.decode() for raw in raws]
+        self.ids.update(zip(names, ids))
+        self.raws.update((names[w], raw) for w, raw in decoded)
+
+    def _positions(self, raws: list[bytes]) -> pa.Table:
+        n = np.fromiter(map(len, raws), np.int64, len(raws))
+        ends = np.cumsum(n)
+        tok = self.one[np.frombuffer(b"".join(raws), np.uint8)]
+        nxt, prv = np.empty_like(tok), np.empty_like(tok)
+        nxt[:-1], prv[1:] = tok[1:], tok[:-1]
+        nxt[ends - 1], prv[ends - n] = -1, -1
+        p = (np.arange(len(tok)) - np.repeat(ends - n, n)).astype(np.int32)
+        return pa.table({"w": np.repeat(np.arange(len(raws), dtype=np.int32), n), "p": p, "tok": tok, "nxt": nxt, "prv": prv})
+
+    def _rows(self, query: str, name: str, rows: pa.Table) -> pa.Table:
+        self.db.register(name, rows)
+        got = self.db.sql(query).to_arrow_table()
+        self.db.unregister(name)
         return got
 
     def decode(self, ids: list[list[int]]) -> list[tuple[int, bytes]]:
         """(position in ids, bytes) by an ordered aggregation; ids must be in the vocabulary."""
-        at = [i for i, x in enumerate(ids) for _ in x]
-        self.db.register("id_rows", pa.table({"w": pa.array(at, pa.int32()), "p": pa.array([p for x in ids for p in range(len(x))], pa.int32()), "id": pa.array([t for x in ids for t in x], pa.int32())}))
-        got = self.db.execute("SELECT r.w, string_agg(v.raw, '' ORDER BY r.p) FROM id_rows r JOIN vocab v USING (id) GROUP BY r.w").fetchall()
-        self.db.unregister("id_rows")
-        if len(got) != sum(map(bool, ids)):
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        if not n.sum():
+            return [(i, b"") for i in range(len(ids))]
+        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows = pa.table({"w": np.repeat(np.arange(len(ids)), n), "p": p, "id": pa.array([t for x in ids for t in x], pa.int32())})
+        got = self._rows("SELECT r.w, count(*) AS n, string_agg(v.raw, '' ORDER BY r.p) AS raw FROM id_rows r JOIN vocab v USING (id) GROUP BY r.w", "id_rows", rows)
+        if sum(got.column("n").to_pylist()) != len(p):
             raise ValueError("an id is not in the vocabulary")
-        return [(w, raw.encode("latin-1")) for w, raw in got] + [(i, b"") for i, x in enumerate(ids) if not x]
+        return [(w, raw.encode("latin-1")) for w, raw in zip(got.column("w").to_pylist(), got.column("raw").to_pylist())] + [(i, b"") for i, x in enumerate(ids) if not x]
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """For each text: its ids in decimal joined by blanks, their number, the decoded bytes."""
         out, pieces = [], [self.split(t) for t in texts]
-        new = {p for x in pieces for p in x} - self.cache.keys()
-        if new:
-            self.learn(new)
-            new = {p for x in pieces for p in x} - self.cache.keys()  # if the cache was emptied
-            if new:
-                self.learn(new)
+        self._recall(set().union(*pieces))
+        ids, raws = self.ids.__getitem__, self.raws.__getitem__
         for x in pieces:
-            got = [self.cache[p] for p in x]
-            out.append((" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
+            text = " ".join(map(ids, x))
+            out.append((text, text.count(" ") + 1 if x else 0, b"".join(map(raws, x))))
         return out
 
 
 PUBLIC = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def heap_merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contractions for one long piece, least rank first and leftmost among equals."""
-    n = len(raw)
-    tok: list[bytes | None] = [raw[i : i + 1] for i in range(n)]
-    prev, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, raw[i : i + 2]) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
-    heapq.heapify(heap)
-
-    def offer(i: int, j: int) -> None:
-        both = tok[i] + tok[j]
-        if (r := ranks.get(both)) is not None:
-            heapq.heappush(heap, (r, i, both))
+def _coded(vocabulary, pattern, fn):
+    """An Arrow pass with one coder a task, which is closed at its end: workers are reused."""
 
-    while heap:
-        _, i, both = heapq.heappop(heap)
-        j = after[i] if tok[i] is not None else n
-        if j >= n or tok[i] + tok[j] != both:
-            continue
-        tok[i], tok[j], after[i] = both, None, after[j]
-        if after[i] < n:
-            prev[after[i]] = i
-            offer(i, after[i])
-        if prev[i] >= 0:
-            offer(prev[i], i)
-    return [ranks[t] for t in tok if t is not None]
-
-
-_CODERS: dict[int, Coder] = {}
-
-
-def coder(ranks: dict[bytes, int], pattern: str = PUBLIC) -> Coder:
-    key = hash((len(ranks), pattern, ranks.get(b" the"), max(ranks.values())))
-    if key not in _CODERS:
-        _CODERS[key] = Coder(ranks, pattern)
-    return _CODERS[key]
-
-
-def _digest(ranks, pattern):
     def run(batches):
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for b in slices(batches):
-            got = coder(ranks.value, pattern).encode([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha(i.encode()) for i, _, _ in got]), pa.array([sha(r) for _, _, r in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c = Coder(*vocabulary.value, pattern)
+        try:
+            for b in batches:
+                yield from fn(c, b)
+        finally:
+            c.close()
 
     return run
 
 
-def _encode(ranks, pattern):
-    def run(batches):
-        for b in slices(batches):
-            got = coder(ranks.value, pattern).encode([t or "" for t in b.column("text").to_pylist()])
-            ids = pa.array([[int(x) for x in i.split()] for i, _, _ in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
+def _texts(b: pa.RecordBatch):
+    for part in slices([b]):
+        yield part, [t or "" for t in part.column("text").to_pylist()]
 
-    return run
 
+def _digest(c: Coder, b: pa.RecordBatch):
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    for part, texts in _texts(b):
+        got = [(n, sha(i.encode()), sha(r)) for i, n, r in c.encode(texts)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def _decode(ranks, pattern):
-    def run(batches):
-        for b in slices(batches, "ids", 1_000_000):
-            raws = dict(coder(ranks.value, pattern).decode([x or [] for x in b.column("ids").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raws[i] for i in range(b.num_rows)], pa.binary())], names=["doc_id", "raw"])
 
-    return run
+def _encode(c: Coder, b: pa.RecordBatch):
+    for part, texts in _texts(b):
+        ids = pa.array([[int(x) for x in i.split()] for i, _, _ in c.encode(texts)], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+
+
+def _decode(c: Coder, b: pa.RecordBatch):
+    for part in slices([b], "ids", 1_000_000):
+        raws = dict(c.decode([x or [] for x in part.column("ids").to_pylist()]))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raws[i] for i in range(part.num_rows)], pa.binary())], names=["doc_id", "raw"])
 
 
-def _shared(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(read_ranks(path))  # a vocabulary: its size does not follow the data
+def _pass(df: DataFrame, columns: list[str], path: str, pattern: str, fn, schema: str) -> DataFrame:
+    ranks = read_ranks(path)
+    vocabulary = df.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # its size does not follow the data
+    return arrow_map(df.select(*columns), _coded(vocabulary, pattern, fn), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str = PUBLIC) -> DataFrame:
     """doc_id, ids (array<int>)."""
-    return arrow_map(docs.select("doc_id", "text"), _encode(_shared(docs, path), pattern), "doc_id long, ids array<int>")
+    return _pass(docs, ["doc_id", "text"], path, pattern, _encode, "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str, pattern: str = PUBLIC) -> DataFrame:
     """doc_id, raw (binary) from doc_id, ids."""
-    return arrow_map(ids.select("doc_id", "ids"), _decode(_shared(ids, path), pattern), "doc_id long, raw binary")
+    return _pass(ids, ["doc_id", "ids"], path, pattern, _decode, "doc_id long, raw binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = PUBLIC) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return arrow_map(docs.select("doc_id", "text"), _digest(_shared(docs, path), pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _pass(docs, ["doc_id", "text"], path, pattern, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -127,10 +127,15 @@ def test_bpe_equals_library(spark, docs, none):
         ids = enc.encode_ordinary(t)
         x = got[r["doc_id"], hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()]
         assert x["n_tokens"] == len(ids) and x["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-    c = bpe.Coder(ranks, public_tokenizers.PATTERN)
+    c = bpe.Coder(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN)
     odd = ["a" * 1000, "x\x1cy \x1c", "½²³ 12", "b\x85\xa0 c", "ͅa ̀b", "don't I'LL", "abc" * 400, "١٢٣ Ⅷ", "\t\t x\r\n\r\n"]
     odd += ["".join(rng.choice("ab \n'\x1c\x85\xa0stdlé½1_-日🙂") for _ in range(rng.randint(0, 50))) for _ in range(500)]
     assert [i for i, _, _ in c.encode(odd)] == [" ".join(map(str, enc.encode_ordinary(t))) for t in odd]
+    huge = ["a" * 100_000, "ab" * 5_000, "the" * 400, " " * 3_000 + "x", "日本" * 500, "0f" * 700] + ["".join(rng.choice(s) for _ in range(n)) for s in ("ab", "acgt", "etaoinshrdlu", "thequickbrown", "-=*") for n in (401, 1_500)]
+    assert [i for i, _, _ in c.encode(huge)] == [" ".join(map(str, enc.encode_ordinary(t))) for t in huge]
+    bpe.STEPPED, c2 = 0, bpe.Coder(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN)
+    assert c2.encode(odd) == c.encode(odd)  # both queries give the same
+    bpe.STEPPED = 400
     back = {r["doc_id"]: bytes(r["raw"]) for r in bpe.decode(bpe.encode(docs.where("doc_id > 3"), RANKS), RANKS).collect()}
     assert back[15].decode() == TEXTS[15] and back[4].decode() == LONG
     assert bpe.round_trip(none, RANKS).count() == 0
