@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from loomwright.session import materialize, ship, shared_dir, table  # noqa: F401
 
-#: Rows that may be broadcast; beyond it every join is a shuffle join.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of files, and rows, that may be broadcast; beyond either every join is a shuffle join.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
+#: Files that are small at any ratio of compression: their rows need no count.
+TINY_BYTES = 2 << 20
 #: Bytes of text that a Python kernel holds at a time.
 SLICE_BYTES = 4_000_000
 
@@ -51,10 +53,13 @@ def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows stay under the bound; beyond
-    it the join shuffles and adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame) -> DataFrame:
+    """Mark a written table for broadcast if its files' bytes (as the planner knows them) and its
+    rows stay under the bounds; beyond them the join shuffles and adaptive execution splits skewed
+    partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    fits = size <= TINY_BYTES or size <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if fits else df
 
 
 def doc_key(df: DataFrame) -> DataFrame:

@@ -231,8 +231,71 @@ def test_line_dedup_short_lines(spark):
     d = spark.createDataFrame(texts, "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, d, None).collect()}
     assert out == {1: texts[0][1], 2: "Les!\n\nx", 3: "", 4: " \n"}
-    got = {r["doc_id"]: (r["n_lines"], r["n_links"], r["n_removed"]) for r in line_dedup.line_report(d).collect()}
-    assert got == {1: (4, 0, 0), 2: (4, 0, 2), 3: (4, 0, 4), 4: (1, 0, 1)}
+    got = {r["doc_id"]: (r["n_lines"], r["n_links"], r["n_removed"], r["class_docs"]) for r in line_dedup.line_report(d).collect()}
+    assert got == {1: (4, 3, 0, [1, 1, 1]), 2: (4, 3, 2, got[2][3]), 3: (4, 4, 4, got[3][3]), 4: (1, 1, 1, [1])}
+    assert sorted(got[2][3]) == [1, 1, 2] and sorted(got[3][3]) == [1, 1, 2]
+
+
+def edited(r, line, n):
+    for _ in range(n):
+        k, c, kind = r.randrange(len(line)), r.choice("abcXYZ"), r.random()
+        line = line[:k] + c + line[k + 1 :] if kind < 0.4 else line[:k] + line[k + 1 :] if kind < 0.7 else line[:k] + c + line[k:]
+    return line_dedup.normal(line)
+
+
+def least_reached(links, nodes):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize("most,rows_a_task", [(10_000, 0), (3, 20_000), (1, 20_000), (3, 0), (1, 60)])
+def test_line_classes_of_dense_groups(spark, most, rows_a_task):
+    """The classes are those of all pairs: in groups where all pairs are links, where lines share
+    most of their characters and few are links, and where all share a segment and none is a link."""
+    r = random.Random(3)
+    hub, far, num = prose(10), prose(10), prose(6)
+    lines = [edited(r, hub, 1) for _ in range(90)] + [edited(r, far, r.randint(1, 4)) for _ in range(90)]
+    lines += [f"{num} {r.randrange(10**5):05d} {num[:9]}" for _ in range(90)]
+    lines += [f"{prose(1)}{r.randrange(10**4)} shared part of a line that is common to all of them {prose(1)}{r.randrange(100)}" for _ in range(60)]
+    lines = sorted({x for x in lines if len(x) >= line_dedup.MIN_CHARS})
+    ids = {line_dedup.line_id(x): x for x in lines}
+    pairs = {(a, b) for a in ids for b in ids if a < b and line_dedup.within(ids[a], ids[b], 2)}
+    got = {(x["a"], x["b"]) for x in line_dedup.link_lines(spark.createDataFrame([(x,) for x in lines], "line string").repartition(4), most=most, rows_a_task=rows_a_task).collect()}
+    assert got <= pairs and least_reached(got, ids) == least_reached(pairs, ids)
+    assert len(pairs) > 3000 and (got == pairs if most > 1000 else len(got) < len(pairs) / 4)
+
+
+def test_line_report_brute_force(spark, docs):
+    """Every column of the report against plain Python, repeated rows and null ids included."""
+    want = Counter()
+    distinct = {(r["doc_id"], r["text"] or "") for r in docs.collect()}
+    place = lambda d, t, p: (d is None, d or 0, xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0), p)
+    lines = {(d, t, p): line_dedup.normal(x) for d, t in distinct for p, x in enumerate(t.split("\n")) if line_dedup.normal(x)}
+    ids = {line_dedup.line_id(x): x for x in lines.values()}
+    long = [i for i in ids if len(ids[i]) >= 12]
+    root = least_reached([(a, b) for a in long for b in long if a < b and line_dedup.within(ids[a], ids[b], 2)], ids)
+    members = defaultdict(list)
+    for (d, t, p), x in lines.items():
+        members[root[line_dedup.line_id(x)]].append((place(d, t, p), d))
+    for r in docs.collect():
+        d, t = r["doc_id"], r["text"] or ""
+        own = [(p, root[line_dedup.line_id(lines[d, t, p])]) for p in range(t.count("\n") + 1) if (d, t, p) in lines]
+        shared = [(p, c) for p, c in own if len(members[c]) > 1]
+        gone = {p for p, c in shared if min(members[c])[0] != place(d, t, p)}
+        kept = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
+        names = sorted({(c, min(members[c])[1]) for _, c in shared})
+        want[d, len(own), len(shared), len(gone), hashlib.sha256(kept.encode()).hexdigest(), tuple(c for c, _ in names), tuple(i for _, i in names)] += 1
+    got = Counter((*(x[c] for c in ("doc_id", "n_lines", "n_links", "n_removed", "kept_sha256")), tuple(x["classes"]), tuple(x["class_docs"])) for x in line_dedup.line_report(docs).collect())
+    assert got == want
 
 
 def test_mixing(spark, docs, none, sf_dir):
