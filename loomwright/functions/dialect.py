@@ -12,6 +12,7 @@ import re
 
 # ECMAScript white space, written for use inside a class
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 _W = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 
@@ -61,8 +62,9 @@ class Dialect:
             x = self.replace(x, pattern, flags, to)
         return x
 
-    def trim(self, x: str) -> str:
-        return self.replace(self.replace(x, r"^\s+", "", ""), r"\s+$", "", "")
+    def if_any(self, where: str, marks, then: str, x: str) -> str:
+        """then, but x where none of the marks occurs: for rules that change nothing without one."""
+        return f"CASE WHEN {' OR '.join(self.has(where, m) for m in marks)} THEN {then} ELSE {x} END"
 
     def words(self, x: str) -> str:
         return self.filter(self.split(x, r"\s+"), "w", "w <> ''")
@@ -74,6 +76,13 @@ class Dialect:
         """How many of the words are substrings of x."""
         return "(" + " + ".join(f"CASE WHEN {self.has(x, w)} THEN 1 ELSE 0 END" for w in words) + ")"
 
+    def fixed(self, x: str, n: int = 0) -> str:
+        """A number that is not negative with n decimals, halves upwards."""
+        v = f"CAST(floor({x} * {10**n} + 0.5) AS BIGINT)"
+        if not n:
+            return f"CAST({v} AS STRING)"
+        return f"concat(CAST({self.div(v, 10**n)} AS STRING), '.', lpad(CAST({v} % {10**n} AS STRING), {n}, '0'))"
+
     def sum_of(self, flags) -> str:
         return "(" + " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for c, v in flags) + ")"
 
@@ -85,6 +94,9 @@ class Spark(Dialect):
     def lit(self, s):
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+    def trim(self, x):
+        return f"trim(BOTH {self.lit(SPACES)} FROM {x})"
+
     def replace(self, x, pattern, flags, to):
         return f"regexp_replace({x}, {self.rx(pattern, flags)}, {self.lit(re.sub(r'\\(\d)', r'$\1', to.replace('$', r'\$')))})"
 
@@ -148,6 +160,36 @@ class Spark(Dialect):
     def array(self, items):
         return f"array({', '.join(items)})"
 
+    def map_at(self, xs, v, e):
+        """e: from the element's place, counted from 0, to the new element."""
+        return f"transform({xs}, ({v}, i) -> {e('i')})"
+
+    def at(self, xs, n):
+        """The n-th element, counted from 1; NULL if there is none."""
+        return f"try_element_at({xs}, CAST({n} AS INT))"
+
+    def place(self, xs, v):
+        return f"array_position({xs}, {v})"
+
+    def matches(self, x, pattern):
+        """A pattern that is a value of the row."""
+        return f"({x} RLIKE {pattern})"
+
+    def div(self, a, b):
+        return f"({a} div {b})"
+
+    def thousands(self, n):
+        return f"format_number({n}, 0)"
+
+    def micros(self, ts):
+        return f"unix_micros(CAST({ts} AS TIMESTAMP))"
+
+    def iso(self, ts):
+        return f"date_format({ts}, {self.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})"
+
+    def powers(self, base, n):
+        return f"CAST(power({base}, {n}) AS BIGINT)"
+
 
 class Duck(Dialect):
     java = False
@@ -155,6 +197,9 @@ class Duck(Dialect):
     def lit(self, s):
         return "'" + s.replace("'", "''") + "'"
 
+    def trim(self, x):
+        return f"trim({x}, {self.lit(SPACES)})"
+
     def replace(self, x, pattern, flags, to):
         return f"regexp_replace({x}, {self.rx(pattern, flags)}, {self.lit(to)}, 'g')"
 
@@ -215,5 +260,32 @@ class Duck(Dialect):
     def array(self, items):
         return f"[{', '.join(items)}]"
 
+    def map_at(self, xs, v, e):
+        return f"list_transform({xs}, lambda {v}, i: {e('(i - 1)')})"
+
+    def at(self, xs, n):
+        return f"({xs})[{n}]"
+
+    def place(self, xs, v):
+        return f"list_position({xs}, {v})"
+
+    def matches(self, x, pattern):
+        return f"regexp_matches({x}, {pattern})"
+
+    def div(self, a, b):
+        return f"({a} // {b})"
+
+    def thousands(self, n):
+        return f"format('{{:,}}', {n})"
+
+    def micros(self, ts):
+        return f"epoch_us(CAST({ts} AS TIMESTAMP))"
+
+    def iso(self, ts):
+        return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+    def powers(self, base, n):
+        return f"CAST(power({base}, {n}) AS BIGINT)"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -12,10 +12,14 @@ TECHNICAL = (
     (r"\b(install|setup|configure|deploy|build|test|debug)\b", "i"), (r"[{}\[\]();]", ""), (r"\b[a-zA-Z_][a-zA-Z0-9_]*\(", ""), (r"\$[a-zA-Z_][a-zA-Z0-9_]*", ""), (r"https?://[^\s]+", ""),
 )
 TERMS = (
-    "function class method api endpoint database server client protocol algorithm framework library module interface implementation configuration deployment testing "
-    "debugging optimization performance security authentication authorization encryption compression serialization parsing validation error exception logging monitoring metrics"
-).split()
-CODE = "const let var function return if else for while class extends import export async await promise try catch finally throw new this super".split()
+    "function", "class", "method", "api", "endpoint", "database", "server", "client", "protocol", "algorithm", "framework", "library", "module", "interface", "implementation",
+    "configuration", "deployment", "testing", "debugging", "optimization", "performance", "security", "authentication", "authorization", "encryption", "compression", "serialization",
+    "parsing", "validation", "error", "exception", "logging", "monitoring", "metrics",
+)
+CODE = (
+    "const", "let", "var", "function", "return", "if", "else", "for", "while", "class", "extends", "import", "export", "async", "await", "promise", "try", "catch", "finally",
+    "throw", "new", "this", "super",
+)
 EXTENSION = r"\.(js|ts|jsx|tsx|py|java|c|cpp|cs|php|rb|go|rs|swift|kt|scala|clj|hs|ml|sql|html|css|json|xml|yaml|yml|toml|ini|conf|sh|bash|ps1|bat)$"
 ADS = ("advertisement", "sponsored", "promoted", "banner", "advert", "click here", "learn more", "sign up", "subscribe", "newsletter", "limited time", "special offer", "discount", "sale", "free trial")
 NAV = ("home", "about", "contact", "privacy", "terms", "sitemap", "navigation", "menu", "breadcrumb", "sidebar", "footer")
@@ -24,6 +28,8 @@ CLIENT_TECHNICAL = (
     r"function\s*\(", r"class\s+\w+", r"api/", r"http[s]?://", r"\.(js|ts|html|css|json|xml|md|txt)$", r"database|server|client", r"import\s+|export\s+",
     r"const\s+|let\s+|var\s+", r"async\s+function", r"Promise\.", r"fetch\(", r"XMLHttpRequest",
 )
+FINAL_ERRORS = ("abort", "404", "403", "invalid content")  # a request that failed so is not tried again
+RETRIES, RETRY_BASE, RETRY_MOST = 3, 1000, 10_000  # waits of base x 2^n milliseconds, at most the last
 WEIGHTS = {"readability": 0.25, "completeness": 0.30, "technical": 0.25, "structure": 0.20}
 CLASS_WEIGHTS = {"length": 0.2, "structure": 0.25, "readability": 0.2, "technical": 0.2, "noise": 0.15}
 FACTORY_WEIGHTS = {"length": 0.15, "structure": 0.3, "readability": 0.25, "technical": 0.25, "noise": 0.05}

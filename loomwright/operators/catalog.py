@@ -10,8 +10,10 @@ from loomwright.functions import cleaning as C
 from loomwright.functions import scoring as S
 from loomwright.functions.dialect import Dialect
 
-# Site configuration, as a crawl would give it: ordinal, key, host, greatest depth, excluded paths
-SITES = ((1, "alpha", "site1.example", 3, "/de/|/fr/"), (2, "beta", "site2.example", 2, "/ja/"))
+# What a user would give, as conditions over the tables: the pages that are selected and the seeds
+SELECTED, SEEDS = "url LIKE '%/en/%'", "url LIKE '%utm_source=feed%'"
+# The status of a failed request is not in the event table: 400 and twice the number in its props stands for it
+STATUS = (400, 2)
 GENERIC = r"^(|untitled document|index|home|get(ting)? started)$"
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
 
@@ -59,6 +61,16 @@ def class_overall(weights: dict):
     return make
 
 
+def class_gate(weights: dict, least: float):
+    """Passed or not against the class score, with the content only of what passed."""
+
+    def make(d: Dialect) -> str:
+        total = S.dbl(" + ".join(f"{w} * {k}" for k, w in weights.items()))
+        return f"SELECT doc_id, total >= {least} AS passed, CASE WHEN total >= {least} THEN length(text) END AS kept_chars FROM (SELECT doc_id, text, {total} AS total FROM ({class_scores(d)}) p) q"
+
+    return make
+
+
 def advice(d: Dialect) -> str:
     items = d.filter(d.array([f"CASE WHEN {k} < {edge} THEN {d.lit(text)} ELSE '' END" for k, edge, text in S.ADVICE]), "r", "r <> ''")
     return f"SELECT doc_id, {d.size(items)} AS n_advice, {d.join(items, '; ')} AS advice FROM ({class_scores(d)}) p"
@@ -87,13 +99,26 @@ def level_share(d: Dialect) -> str:
 
 
 def structure_counts(d: Dialect) -> str:
-    flags = {"has_headers": d.test("text", r"^#+\s+", "m"), "has_lists": d.test("text", r"^[-*+]\s+", "m"), "has_code": d.test("text", r"```[\s\S]*```|`[^`]+`"), "has_links": d.test("text", r"\[.*?\]\(.*?\)")}
+    flags = {"has_headers": d.test("text", r"^#+\s+", "m"), "has_lists": d.test("text", r"^[-*+]\s+", "m"), "has_code": d.test("text", r"```[\s\S]*```|`[^`]+`"), "has_links": d.test("text", r"\[.*?\]\(.*?\)"), "technical": "(" + " OR ".join(d.test("text", p, "i") for p in S.CLIENT_TECHNICAL[:8]) + ")"}
     return "SELECT " + ", ".join(f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k, c in flags.items()) + " FROM documents"
 
 
 def error_types(d: Dialect) -> str:
-    message = "CASE event_id % 6 WHEN 0 THEN 'HTTP 404' WHEN 1 THEN 'HTTP 500' WHEN 2 THEN 'HTTP 403' WHEN 3 THEN 'timeout of 15000 ms' WHEN 4 THEN 'network down' ELSE 'parse' END"
-    return f"SELECT error_type, count(*) AS n FROM (SELECT {S.error_type(d, 'm')} AS error_type FROM (SELECT {message} AS m FROM events) e) t GROUP BY error_type"
+    return f"SELECT error_type, count(*) AS n FROM (SELECT {S.error_type(d, 'message')} AS error_type FROM ({failures(d)}) e) t GROUP BY error_type"
+
+
+def failures(d: Dialect) -> str:
+    """Error events as failed requests: event_id, user_id, message (timeouts are the slowest values)."""
+    status = f"CAST({STATUS[0]} + {STATUS[1]} * CAST({d.extract('props', r'(\d+)', 1)} AS BIGINT) AS STRING)"
+    message = f"CASE WHEN value > 90 THEN 'timeout of 15000 ms' WHEN value < 2 THEN 'network down' ELSE concat('HTTP ', {status}) END"
+    return f"SELECT event_id, user_id, {message} AS message FROM events WHERE event_type = 'error'"
+
+
+def retries(d: Dialect) -> str:
+    """Whether a failed request is tried again, how often at most, and after which waits (ms)."""
+    final = " OR ".join(d.has("lower(message)", w) for w in S.FINAL_ERRORS)
+    waits = d.join(d.map(d.array([str(k) for k in range(S.RETRIES)]), "k", f"CAST(least({d.powers('2', 'k')} * {S.RETRY_BASE}, {S.RETRY_MOST}) AS STRING)"), ",")
+    return f"SELECT event_id, ({final}) AS final, CASE WHEN {final} THEN 0 ELSE {S.RETRIES} END AS retries, CASE WHEN {final} THEN '' ELSE {waits} END AS waits FROM ({failures(d)}) f"
 
 
 def ranked(d: Dialect) -> str:
@@ -113,27 +138,39 @@ def page_rows(d: Dialect) -> str:
     return f"SELECT page_id, url, host, {title} AS title, content, {d.n_words('content')} AS words FROM ({d.stage('SELECT page_id, url, html FROM pages', {'host': C.url_host(d, 'url'), 'title': title_of(d), 'content': C.strip_html(d, 'html')})}) p"
 
 
+def page_record(d: Dialect) -> str:
+    """The ten fields of an indexed page (the time of the crawl is the caller's)."""
+    crumbs = d.join(C.breadcrumbs(d, "url"), "|")
+    return f"""SELECT p.page_id, p.url, {C.clean_title(d, 'p.title')} AS title, p.content, p.words AS estimated_words, '1970-01-01T00:00:00.000Z' AS last_modified, {crumbs.replace('url', 'p.url')} AS breadcrumbs,
+        coalesce(c.site_key, 'unknown') AS site_key, coalesce(c.name, 'Unknown Site') AS site_name, {d.size(C.url_parts(d, 'p.url'))} AS depth FROM ({page_rows(d)}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host"""
+
+
 def estimates(d: Dialect) -> str:
     words = "coalesce(nullif(words, 0), greatest(300, 15 * length(title)))"
     return f"SELECT page_id, CAST({words} AS BIGINT) AS est_words, CAST(floor(5.5 * {words} + 0.5) AS BIGINT) AS est_chars FROM ({page_rows(d)}) p"
 
 
 def _chosen(d: Dialect) -> str:
-    return "SELECT url FROM pages WHERE page_id % 3 = 0"
+    return f"SELECT url FROM pages WHERE {SELECTED}"
 
 
 def selection_sum(d: Dialect) -> str:
     n = "CAST(sum(est_chars) AS BIGINT)"
-    return f"SELECT count(*) AS pages, {n} AS chars, CASE WHEN {n} < 1000 THEN 'units' WHEN {n} < 1000000 THEN 'K' ELSE 'M' END AS unit FROM ({estimates(d)}) e WHERE page_id IN (SELECT page_id FROM pages WHERE url IN ({_chosen(d)}))"
+    size = f"CASE WHEN {n} < 1000 THEN CAST({n} AS STRING) WHEN {n} < 1000000 THEN concat({d.fixed(f'({n} / 1000.0)', 1)}, 'K') ELSE concat({d.fixed(f'({n} / 1000000.0)', 1)}, 'M') END"
+    return f"SELECT count(*) AS pages, {n} AS chars, {size} AS size FROM ({estimates(d)}) e WHERE page_id IN (SELECT page_id FROM pages WHERE url IN ({_chosen(d)}))"
 
 
 def tri_state(d: Dialect) -> str:
-    picked = "sum(CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END)"
-    return f"SELECT host, CASE {picked} WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM (SELECT page_id, {C.url_host(d, 'url')} AS host FROM pages) p GROUP BY host"
+    picked = f"sum(CASE WHEN {SELECTED} THEN 1 ELSE 0 END)"
+    return f"SELECT host, CASE {picked} WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM (SELECT url, {C.url_host(d, 'url')} AS host FROM pages) p GROUP BY host"
 
 
 def single_site(d: Dialect) -> str:
-    return f"SELECT count(DISTINCT host) = 1 AS one_site, count(DISTINCT host) AS hosts, count(*) AS pages FROM (SELECT {C.url_host(d, 'url')} AS host FROM pages WHERE page_id % 3 = 0) p"
+    """Whether the selection is all pages of one site, for whose collection there is a file already."""
+    mine, all_of = "sum(CASE WHEN chosen THEN 1 ELSE 0 END)", "sum(CASE WHEN site_chosen > 0 THEN 1 ELSE 0 END)"
+    hosts = "count(DISTINCT CASE WHEN chosen THEN host END)"
+    rows = f"SELECT host, chosen, sum(CASE WHEN chosen THEN 1 ELSE 0 END) OVER (PARTITION BY host) AS site_chosen FROM (SELECT {C.url_host(d, 'url')} AS host, {SELECTED} AS chosen FROM pages) p"
+    return f"SELECT {hosts} AS hosts, CAST({mine} AS BIGINT) AS selected, CAST({all_of} AS BIGINT) AS pages_of_sites, CASE WHEN {hosts} = 1 AND {mine} = {all_of} THEN concat('/', min(CASE WHEN chosen THEN host END), '-llms.txt') END AS route FROM ({rows}) q"
 
 
 def links(d: Dialect) -> str:
@@ -143,24 +180,139 @@ def links(d: Dialect) -> str:
 
 def edges(d: Dialect) -> str:
     """Absolute and root-relative links of the same host without a fragment."""
-    origin = d.extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
-    to = f"CASE WHEN {d.test('href', r'^https?://')} THEN href WHEN {d.test('href', r'^/[^/]')} THEN concat({origin}, href) END"
-    return f"SELECT DISTINCT url AS src, dst FROM (SELECT url, {to} AS dst FROM ({links(d)}) l) e WHERE dst IS NOT NULL AND NOT {d.has('dst', '#')} AND {C.url_host(d, 'url')} = {C.url_host(d, 'dst')}"
+    return f"SELECT DISTINCT url AS src, dst FROM ({targets(d)}) t WHERE NOT {d.has('dst', '#')} AND host = {C.url_host(d, 'dst')}"
 
 
 def sites(d: Dialect) -> str:
-    rows = " UNION ALL ".join(f"SELECT {o} AS ordinal, '{k}' AS site_key, '{h}' AS host, {m} AS max_depth, {d.lit(x)} AS excluded" for o, k, h, m, x in SITES)
-    return rows
+    """The site configuration as a relation, which stands for a file read by sources.files: the
+    hosts of two families are configured, each family with its limits, patterns and selectors."""
+    blog = "host LIKE 'blog.%'"
+    none = f"CASE WHEN {blog} THEN {{}} END"
+    patterns = f"CASE WHEN {blog} THEN {d.array([d.lit('/de/'), d.lit('/fr/')])} ELSE {d.array([d.lit('/es/'), d.lit(r'[?]page=[0-9]+')])} END"
+    return f"""SELECT row_number() OVER (ORDER BY host) - 1 AS ordinal, {C.slug(d, 'host')} AS site_key, concat('Site ', host) AS name, host, concat('https://', host) AS base_url,
+        CASE WHEN {blog} THEN 2 ELSE 3 END AS max_depth, CASE WHEN {blog} THEN 10 ELSE 20 END AS max_pages, CASE WHEN {blog} THEN 50 ELSE 0 END AS min_words, {patterns} AS excluded,
+        {none.format("'article, main'")} AS selectors, {blog} AS filtered, {none.format('2000')} AS most_code
+        FROM (SELECT DISTINCT {C.url_host(d, 'url')} AS host FROM pages) h WHERE {blog} OR host LIKE 'www.%'"""
+
+
+DEFAULT_SELECTORS = "main, article, .content, .main, [role=\"main\"]"
+
+
+def hosted(d: Dialect, columns: str = "page_id, url") -> str:
+    return f"SELECT {columns}, {C.url_host(d, 'url')} AS host FROM pages"
 
 
 def host_config(d: Dialect) -> str:
-    return f"""SELECT p.page_id, coalesce(c.site_key, 'default') AS site_key, coalesce(c.max_depth, 3) AS max_depth FROM (SELECT page_id, {C.url_host(d, 'url')} AS host FROM pages) p
-        LEFT JOIN (SELECT host, min(site_key) AS site_key, min(max_depth) AS max_depth FROM ({sites(d)}) s GROUP BY host) c ON c.host = p.host"""
+    """Each page with its site's settings, or the defaults."""
+    return f"""SELECT p.page_id, coalesce(c.site_key, 'default') AS site_key, coalesce(c.max_depth, 3) AS max_depth, coalesce(c.selectors, {d.lit(DEFAULT_SELECTORS)}) AS selectors,
+        {d.size('c.excluded')} AS patterns FROM ({hosted(d)}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host"""
+
+
+def url_options(d: Dialect) -> str:
+    """The selectors of each selected URL, as a list and how many there are."""
+    trimmed = d.map(d.split("selectors", ","), "s", d.trim("s"))
+    rows = f"SELECT p.url, coalesce(c.selectors, {d.lit(DEFAULT_SELECTORS)}) AS selectors FROM (SELECT DISTINCT url, {C.url_host(d, 'url')} AS host FROM pages WHERE {SELECTED}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host"
+    return f"SELECT url, {d.join(trimmed, '|')} AS selectors, {d.size(trimmed)} AS n FROM ({rows}) r"
 
 
 def admissible(d: Dialect) -> str:
-    ok = f"NOT {d.has('url', '#')} AND {d.test('url', r'^https?://[^/]')} AND NOT {d.test('url', r'(\?|&)page=|/tag/|/admin/')}"
-    return f"SELECT page_id, ({ok}) AS admissible FROM pages"
+    """Whether a link may be crawled from its page: same host, no fragment, none of the site's patterns."""
+    ok = f"{C.url_host(d, 'dst')} = p.host AND NOT {d.has('dst', '#')} AND {d.size(d.filter('coalesce(c.excluded, p.nothing)', 'x', d.matches('dst', 'x')))} = 0"
+    links_ = f"SELECT page_id, url, host, dst, {d.filter(d.array([d.lit('')]), 'x', 'x <> ' + d.lit(''))} AS nothing FROM ({targets(d)}) t"
+    return f"SELECT p.page_id, p.dst, ({ok}) AS admissible FROM ({links_}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host"
+
+
+def targets(d: Dialect) -> str:
+    """Each page's absolute and root-relative links: page_id, url, host, dst."""
+    origin = d.extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    to = f"CASE WHEN {d.test('href', r'^https?://')} THEN href WHEN {d.test('href', r'^/[^/]')} THEN concat({origin}, href) END"
+    return f"SELECT page_id, url, {C.url_host(d, 'url')} AS host, dst FROM (SELECT page_id, url, {to} AS dst FROM ({links(d)}) l) e WHERE dst IS NOT NULL"
+
+
+def site_min_words(d: Dialect) -> str:
+    """Pages with enough words for their site; 0 and no figure mean 10."""
+    return f"SELECT p.page_id, p.words FROM ({page_rows(d)}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host WHERE p.words >= coalesce(nullif(c.min_words, 0), 10)"
+
+
+def site_filters(d: Dialect) -> str:
+    """The crawler's filters where the site is configured for them; other pages stay as they are."""
+    return f"SELECT page_id, CASE WHEN filtered THEN {C.content_filters(d, 'content')} ELSE content END AS content FROM (SELECT p.page_id, p.html AS content, coalesce(c.filtered, false) AS filtered FROM ({hosted(d, 'page_id, url, html')}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host) q"
+
+
+def site_results(d: Dialect) -> str:
+    """Per configured site its pages and mean words, with what its configuration says of it."""
+    return f"SELECT c.site_key, c.name, c.base_url, count(*) AS pages, CAST(floor(avg(p.words) + 0.5) AS BIGINT) AS mean_words FROM ({page_rows(d)}) p JOIN ({sites(d)}) c ON c.host = p.host GROUP BY c.site_key, c.name, c.base_url"
+
+
+def pages_by_site(d: Dialect) -> str:
+    rows = f"SELECT coalesce(c.site_key, 'unknown') AS site_key, coalesce(c.name, 'Unknown Site') AS site_name, p.page_id FROM ({hosted(d)}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host"
+    return f"SELECT site_key, site_name, count(*) AS n, {d.joined('CAST(page_id AS STRING)', ',', 'page_id')} AS page_ids FROM ({rows}) r GROUP BY site_key, site_name"
+
+
+def site_order(d: Dialect) -> str:
+    """Sites as listed: the configured ones in their order, then the others by key."""
+    return f"""SELECT site_key, row_number() OVER (ORDER BY CASE WHEN ordinal IS NULL THEN 1 ELSE 0 END, ordinal, site_key) AS position FROM (
+        SELECT DISTINCT coalesce(c.site_key, p.host) AS site_key, c.ordinal FROM ({hosted(d)}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host) q"""
+
+
+def selected_order(d: Dialect) -> str:
+    """The selected pages in the order of their list, Root where a page has no path."""
+    path = f"coalesce(nullif({d.join(C.breadcrumbs(d, 'url'), ' / ')}, ''), 'Root')"
+    return f"""SELECT page_id, path, row_number() OVER (PARTITION BY host ORDER BY path, page_id) AS position, coalesce(ordinal, -1) AS site FROM (
+        SELECT p.page_id, p.host, c.ordinal, {path} AS path FROM ({hosted(d)}) p LEFT JOIN ({sites(d)}) c ON c.host = p.host WHERE {SELECTED}) q"""
+
+
+def existing_urls(d: Dialect) -> str:
+    """The indexed URLs over all sites, each once, and in how many sites' indexes it is."""
+    return f"SELECT url, count(DISTINCT site) AS sites FROM (SELECT url, {C.url_host(d, 'url')} AS site FROM pages UNION ALL SELECT dst, host FROM ({targets(d)}) t) u GROUP BY url"
+
+
+def selection_edit(d: Dialect) -> str:
+    """The selection after the feed's pages were added and Spanish ones taken away."""
+    return f"(SELECT url FROM pages WHERE {SELECTED} UNION SELECT url FROM pages WHERE {SEEDS}) EXCEPT SELECT url FROM pages WHERE url LIKE '%/es/%'"
+
+
+def selection_common(d: Dialect) -> str:
+    return f"SELECT url FROM pages WHERE {SELECTED} INTERSECT SELECT url FROM pages WHERE {SEEDS}"
+
+
+def index_union(d: Dialect) -> str:
+    """Indexed pages and newly crawled ones, which have fields that the old rows lack."""
+    old = f"SELECT url, {C.url_title(d, 'url')} AS title, CAST(NULL AS BIGINT) AS words, true AS existing FROM pages WHERE NOT ({SEEDS})"
+    new = f"SELECT p.url, p.title, p.words, false AS existing FROM ({page_rows(d)}) p JOIN (SELECT page_id FROM pages WHERE {SEEDS}) s ON s.page_id = p.page_id"
+    return f"{old} UNION ALL {new}"
+
+
+def chunk_union(d: Dialect) -> str:
+    """The results of chunks put together again: each row stays as often as it is there."""
+    parts = " UNION ALL ".join(f"SELECT source, doc_id FROM documents WHERE lang {c}" for c in ("= 'en'", "<> 'en'", "IS NULL"))
+    return f"SELECT source, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM ({parts}) u GROUP BY source"
+
+
+def progress(d: Dialect) -> str:
+    """How far a source's run is at each document, in the order of ids."""
+    return "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS completed, count(*) OVER (PARTITION BY source) AS total FROM documents"
+
+
+def capped_pages(d: Dialect) -> str:
+    """New pages of a site up to its limit, in which the pages that it has already count."""
+    old = f"sum(CASE WHEN {SEEDS} THEN 0 ELSE 1 END) OVER (PARTITION BY host)"
+    rows = f"SELECT page_id, host, {SEEDS} AS new, {old} AS existing, row_number() OVER (PARTITION BY host, {SEEDS} ORDER BY page_id) AS n FROM ({hosted(d)}) p"
+    return f"SELECT r.page_id, r.host FROM ({rows}) r LEFT JOIN ({sites(d)}) c ON c.host = r.host WHERE r.new AND r.n <= coalesce(c.max_pages, 50) - r.existing"
+
+
+def file_sites(d: Dialect) -> str:
+    """Sites that are one text file, unless its URL is indexed: a row at depth 0 with the site's name as its path."""
+    names = f"SELECT {C.bare_host(d, 'url')} AS host, count(*) AS n FROM pages GROUP BY {C.bare_host(d, 'url')}"
+    files = f"SELECT concat('https://', host, '/llms.txt') AS url, concat('Site ', host) AS name FROM ({names}) n"
+    return f"SELECT f.url, f.name, {C.url_title(d, 'f.url')} AS title, 0 AS depth, f.name AS path FROM ({files}) f WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = f.url)"
+
+
+def contrast(d: Dialect) -> str:
+    """Contrast of each page's colour (its id as #rrggbb) against white, by relative luminance."""
+    part = lambda k: f"(({d.div('page_id * 9973 % 16777216', 256**k)} % 256) / 255e0)"
+    light = " + ".join(f"{w}e0 * CASE WHEN {part(k)} <= 0.03928e0 THEN {part(k)} / 12.92e0 ELSE power(({part(k)} + 0.055e0) / 1.055e0, 2.4e0) END" for k, w in ((2, 0.2126), (1, 0.7152), (0, 0.0722)))
+    return f"SELECT page_id, CAST(floor(1000 * 1.05e0 / ({light} + 0.05e0) + 0.5e0) AS DOUBLE) / 1000 AS contrast FROM pages"
 
 
 def canonical(d: Dialect) -> str:
@@ -171,12 +323,12 @@ def canonical(d: Dialect) -> str:
 
 def union_except(d: Dialect) -> str:
     path = C.url_path(d, "url")
-    return f"SELECT path, min(seed) AS origin FROM (SELECT DISTINCT {path} AS path, 0 AS seed FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT DISTINCT {path}, 1 FROM pages) u GROUP BY path"
+    return f"SELECT path, min(seed) AS origin FROM (SELECT DISTINCT {path} AS path, 0 AS seed FROM pages WHERE {SEEDS} UNION ALL SELECT DISTINCT {path}, 1 FROM pages) u GROUP BY path"
 
 
 def new_paths(d: Dialect) -> str:
     path = C.url_path(d, "url")
-    return f"SELECT {path} AS path FROM pages EXCEPT SELECT {path} FROM pages WHERE page_id % 5 = 0"
+    return f"SELECT {path} AS path FROM pages EXCEPT SELECT {path} FROM pages WHERE {SEEDS}"
 
 
 def entry_points(d: Dialect) -> str:
@@ -248,29 +400,40 @@ CATALOG = {
     # filters
     "quality_filter": lambda d: f"SELECT doc_id, score FROM ({scored(d)}) s WHERE score >= 0.2",
     "annotated_filter": lambda d: f"SELECT doc_id, score, {S.level('score')} AS level FROM ({scored(d)}) s WHERE score >= 0.4",
-    "pass_or_null": lambda d: f"SELECT doc_id, score >= 0.4 AS passed, CASE WHEN score >= 0.4 THEN length(text) END AS kept_chars FROM ({scored(d)}) s",
-    "min_words": lambda d: f"SELECT doc_id FROM ({scored(d)}) s WHERE words >= coalesce(nullif(0, 0), 10)",
+    "high_quality_filter": lambda d: f"SELECT doc_id, score, {S.level('score')} AS level, words FROM ({scored(d)}) s WHERE score >= 0.7",
+    "pass_or_null": class_gate(S.CLASS_WEIGHTS, 0.3), "pass_or_null_factory": class_gate(S.FACTORY_WEIGHTS, 0.4),
+    "min_words": site_min_words, "site_filters": site_filters, "truthy_results": lambda d: f"SELECT doc_id FROM (SELECT doc_id, CASE WHEN score >= 0.4 THEN text END AS result FROM ({scored(d)}) s) r WHERE result IS NOT NULL AND result <> ''",
+    "retries": retries,
     "soft_404": lambda d: f"SELECT page_id, {S.soft_404(d, 'title', 'content', 'words')} AS is_404 FROM ({page_rows(d)}) p",
     "valid_content": lambda d: f"SELECT doc_id, {S.validity(d, 'text', 'n')[0]} AS valid, {S.validity(d, 'text', 'n')[1]} AS score FROM ({d.stage('SELECT doc_id, text FROM documents', {'n': d.n_words('text')})}) b",
     "admissible_url": admissible,
     # cleaning
     "clean_mojibake": _per_doc("cleaned", C.mojibake), "clean_boilerplate": _per_doc("cleaned", C.boilerplate), "clean_video": _per_doc("cleaned", C.video), "clean_entities": _page("cleaned", C.entities),
     "clean_markdown": _per_doc("cleaned", C.markdown), "clean_markdown_client": _per_doc("cleaned", lambda d, x: C.markdown(d, x, True)), "clean_special": _per_doc("cleaned", C.special),
-    "clean_whitespace": _per_doc("cleaned", C.whitespace), "clean_whitespace_flat": _page("cleaned", lambda d, x: C.whitespace(d, x, False)), "clean_server_chain": _per_doc("cleaned", C.server_chain),
+    "clean_whitespace": _per_doc("cleaned", C.whitespace), "clean_whitespace_flat": _page("cleaned", lambda d, x: C.whitespace(d, x, False)), "clean_server_chain": lambda d: f"SELECT doc_id, cleaned FROM ({C.server_query(d, 'SELECT doc_id, text FROM documents', 'text', 'cleaned')}) c",
     "strip_html": _page("cleaned", C.strip_html), "strip_tags": _page("cleaned", C.strip_tags), "filter_scripts": _page("cleaned", C.scripts), "filter_styles": _page("cleaned", C.styles),
     "filter_comments": _page("cleaned", C.comments), "filter_collapse": _page("cleaned", C.collapse), "filter_framework": _page("cleaned", C.framework), "content_filters": _page("cleaned", C.content_filters),
-    "tidy_lines": _page("cleaned", C.tidy_lines), "enhance_headings": _per_doc("cleaned", C.headings), "nav_noise": _per_doc("cleaned", C.navigation),
+    "tidy_lines": _page("cleaned", C.tidy_lines), "code_cap": _per_doc("cleaned", lambda d, x: C.code_cap(d, x, 60)), "code_cap_pages": _page("cleaned", C.code_cap), "enhancer_filters": _page("cleaned", C.enhancer_filters),
+    "isolate_code": _per_doc("cleaned", C.isolate_code), "spacing": _per_doc("cleaned", C.spacing), "enhanced": _page("cleaned", C.enhanced), "enhanced_lines": _page("cleaned", lambda d, x: C.enhanced(d, x, True)),
+    "plain_text": _per_doc("cleaned", C.plain_text), "manual_text": _page("cleaned", C.manual_text), "clean_text_file": _per_doc("cleaned", C.text_file), "clean_client_chain": _page("cleaned", C.client_chain),
+    "enhance_headings": _per_doc("cleaned", C.headings), "nav_noise": _per_doc("cleaned", C.navigation),
     # titles and URLs
     "url_title": _url("title", C.url_title), "url_host": _url("host", C.url_host), "url_path": _url("path", C.url_path), "url_depth": _url("depth", lambda d, u: d.size(C.url_parts(d, u))),
-    "breadcrumbs": _url("crumbs", lambda d, u: d.join(C.breadcrumbs(d, u), " > ")), "canonical_url": canonical, "page_rows": page_rows, "estimates": estimates, "specific_title": specific_title,
+    "breadcrumbs": _url("crumbs", lambda d, u: d.join(C.breadcrumbs(d, u), " > ")), "canonical_url": canonical, "tidy_url": _url("tidy_url", lambda d, u: C.tidy_url(d, u, TRACKING)), "breadcrumb_path": _url("path", C.breadcrumb_path), "enhancer_url_title": _url("title", C.enhancer_url_title),
+    "client_url_title": lambda d: f"SELECT page_id, title FROM ({C.client_url_title(d, 'SELECT page_id, url FROM pages', 'url', 'title')}) t", "page_slug": lambda d: f"SELECT page_id, concat('page-', {C.slug(d, 'host')}, '-', {C.slug(d, 'url')}) AS slug FROM ({hosted(d)}) p",
+    "enhancer_title": lambda d: f"SELECT page_id, {C.enhancer_title(d, 't')} AS title FROM (SELECT page_id, {d.extract('html', r'<h1[^>]*>([^<]*)', 1, 'i')} AS t FROM pages) p",
+    "plain_title": lambda d: f"SELECT doc_id, CASE WHEN length(t) < 100 AND t <> '' THEN t ELSE 'Glossary' END AS title FROM (SELECT doc_id, {C.plain_text(d, 'text')} AS t FROM documents) p",
+    "page_record": page_record, "page_rows": page_rows, "estimates": estimates, "specific_title": specific_title,
     "clean_title": lambda d: f"SELECT page_id, {C.clean_title(d, 't')} AS title FROM (SELECT page_id, {title_of(d)} AS t FROM pages) p",
     "display_title": lambda d: f"SELECT page_id, {C.display_title(d, 't')} AS title FROM (SELECT page_id, {title_of(d)} AS t FROM pages) p",
     # aggregations and windows
     "site_report": site_report, "run_totals": run_totals, "score_buckets": buckets, "level_share": level_share, "structure_counts": structure_counts, "error_types": error_types,
     "rank_by_quality": ranked, "excluded_rank": excluded, "top_documents": lambda d: f"SELECT doc_id, score FROM ({scored(d)}) s ORDER BY score DESC, doc_id LIMIT 10",
-    "first_errors": lambda d: f"SELECT source, doc_id FROM ({excluded(d)}) x WHERE position <= 10", "class_words": class_words, "page_tree": page_tree, "tri_state": tri_state, "single_site": single_site, "selection_sum": selection_sum,
+    "first_errors": lambda d: f"SELECT source, doc_id, total - 10 AS more FROM (SELECT *, count(*) OVER (PARTITION BY source) AS total FROM ({excluded(d)}) e) x WHERE position <= 10", "class_words": class_words, "page_tree": page_tree, "tri_state": tri_state, "single_site": single_site, "selection_sum": selection_sum,
     # joins and sets
-    "host_config_join": host_config, "labels_join": labels_join, "selected_semi": lambda d: f"SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM ({_chosen(d)}) c WHERE c.url = p.url)",
+    "host_config_join": host_config, "url_options": url_options, "site_results": site_results, "pages_by_site": pages_by_site, "site_order": site_order, "selected_order": selected_order,
+    "existing_urls": existing_urls, "selection_edit": selection_edit, "selection_common": selection_common, "index_union": index_union, "chunk_union": chunk_union, "progress": progress,
+    "capped_pages": capped_pages, "file_sites": file_sites, "contrast": contrast, "labels_join": labels_join, "selected_semi": lambda d: f"SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM ({_chosen(d)}) c WHERE c.url = p.url)",
     "existing_anti": lambda d: f"SELECT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM ({_chosen(d)}) c WHERE c.url = p.url)",
     "selection_lookup": lambda d: f"SELECT c.url, min(p.page_id) AS page_id FROM ({_chosen(d)}) c JOIN pages p ON p.url = c.url GROUP BY c.url",
     "seed_union": union_except, "new_paths": new_paths, "entry_points": entry_points, "page_order": ordered_pages, "page_links": links, "link_edges": edges,

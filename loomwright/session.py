@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,9 +44,11 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The session names it in spark.checkpoint.dir;
-    where it is unset (tests on one machine) a temporary folder is set."""
+    where it is unset on one machine (tests) a temporary folder is set, on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
