@@ -12,7 +12,8 @@ Positions in a stream and ranks are prefix sums in two levels (hash buckets, chu
 so no source is sorted in one task. Every source gets MARGIN slots beyond its need: the count of
 points in a stretch misses its share by O(log slots), far below that, and a count proves it.
 
-Defined cases: null text has size 0; texts without words are in the result with taken 0; null
+Defined cases: null text has size 0; a very long text fills as many blocks as its words need;
+documents that tie in the hash order follow doc_id, text and size; texts without words are in the result with taken 0; null
 source is a source of its own, last; null doc_id and repeated rows are rows like any other;
 if no text has a word all targets are 0; an empty table gives an empty result; other columns
 are ignored here and kept by `mixed_documents`.
@@ -128,6 +129,38 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return plan_mix(docs, block).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def oracle(block: int = BLOCK) -> str:
+    """The mix in DuckDB's SQL: the same definition (targets, golden-ratio slots, blocks of a
+    stream in hash order), with windows over whole sources instead of two-level sums."""
+    n = len(WEIGHTS)
+    return f"""WITH sized AS (
+        SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+               ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
+    totals AS (SELECT none, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY none, src) AS ord FROM sized GROUP BY none, src),
+    weighed AS (SELECT *, {list(WEIGHTS)}[(ord - 1) % {n} + 1]::DOUBLE AS w, source_size * {float(LIMIT)} AS cap, (sum(source_size) OVER ())::DOUBLE * {SHARE} AS total FROM totals),
+    levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY cap / w, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+    open_ AS (SELECT cap / w AS ratio, ord, level FROM levels WHERE cap > w * level * (1 + 1e-12) ORDER BY ratio, ord LIMIT 1),
+    goal AS (SELECT l.none, l.src, l.ord, l.source_size, CASE WHEN o.ord IS NOT NULL AND (l.cap / l.w > o.ratio OR l.cap / l.w = o.ratio AND l.ord >= o.ord) THEN least(l.cap, l.w * o.level) ELSE l.cap END AS target
+        FROM levels l LEFT JOIN open_ o ON true),
+    wanted AS (SELECT ord, source_size, floor(target + 0.5)::BIGINT AS want, ceil(source_size / {block})::BIGINT AS blocks FROM goal WHERE source_size > 0),
+    needed AS (SELECT *, want % source_size AS rem, ((want // source_size) * blocks + ceil((want % source_size) / {block}))::BIGINT AS need FROM wanted),
+    shared AS (SELECT *, need + {MARGIN} AS share, (sum(need + {MARGIN}) OVER (ORDER BY ord))::BIGINT AS upto FROM needed),
+    bounds AS (SELECT *, floor(4294967296.0::DOUBLE * (upto - share) / max(upto) OVER ())::BIGINT AS lo, floor(4294967296.0::DOUBLE * upto / max(upto) OVER ())::BIGINT AS hi FROM shared),
+    points AS (SELECT id, (id * {PHI32}) % 4294967296 AS pt FROM (SELECT unnest(range((SELECT coalesce(max(upto), 0) FROM shared))) AS id) i),
+    slots AS (SELECT b.*, row_number() OVER (PARTITION BY b.ord ORDER BY p.id) - 1 AS rank FROM points p JOIN bounds b ON p.pt >= b.lo AND p.pt < b.hi),
+    taken AS (SELECT ord, rank % blocks AS blk, count(*) FILTER (NOT (rank = need - 1 AND rem > 0)) AS whole, coalesce(max((rem - 1) % {block} + 1) FILTER (rank = need - 1 AND rem > 0), 0) AS part
+        FROM slots WHERE rank < need GROUP BY ord, rank % blocks),
+    placed AS (SELECT s.doc_id, s.size, g.ord, g.source_size, g.target, row_number() OVER () AS r,
+        coalesce(sum(s.size) OVER (PARTITION BY s.none, s.src ORDER BY s.h % {BUCKETS}, s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+        FROM sized s JOIN goal g ON g.none = s.none AND g.src = s.src),
+    pieces AS (SELECT *, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS blk FROM placed WHERE size > 0),
+    cut AS (SELECT p.r, greatest(p.start, p.blk * {block}) - p.blk * {block} AS lo, least(p.start + p.size, (p.blk + 1) * {block}) - p.blk * {block} AS hi, coalesce(t.whole, 0) AS whole, coalesce(t.part, 0) AS part
+        FROM pieces p LEFT JOIN taken t ON t.ord = p.ord AND t.blk = p.blk),
+    words AS (SELECT r, sum(whole * (hi - lo) + greatest(0, least(hi, part) - lo))::BIGINT AS taken FROM cut GROUP BY r)
+    SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(w.taken, 0)::BIGINT AS taken FROM placed p LEFT JOIN words w ON w.r = p.r"""
+
+
 def _cut(batches):
     """Repeat each text as often as its words are taken whole, then its first words for the rest."""
     for b in batches:
