@@ -1,5 +1,8 @@
 """Quality rules: per-document base rules and cross-document line frequency.
 
+What counts as a document here is a distinct text of a host: exact copies are one document, since
+a thousand copies of one page would else make all its lines frequent and reject every copy.
+
 Lines are normalised (lower case, single blanks, digits to 0) and hashed. For each host
 (`source`) the distinct texts that hold a line are counted; a line in more texts than
 max(min_docs, min(max_docs, share x the host's distinct texts)) is over the limit and is removed:
@@ -11,6 +14,7 @@ words, is depleted and rejected.
 Defined cases: null text is a text without words (base_failed, not kept); null doc_id and null
 source are values of their own; rows equal in doc_id and text are one document and get one
 verdict each; copies of a text count once for a line, so copies alone never make it frequent.
+Ties do not occur (a line is over its limit or not); a very long text is one row of line hashes.
 An empty table gives an empty result; other columns are ignored here and kept by `apply_rules`.
 """
 
@@ -148,3 +152,27 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     verdict, _ = assess(docs, min_docs, host_share, max_docs)
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lines_words_removed").cast("long").alias("words_removed"))
+
+
+def oracle(min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> str:
+    """verdicts in DuckDB's SQL, with the lines and windows themselves in place of their hashes."""
+    word = r"[^\x20\x09-\x0D]+"
+    found = lambda x: f"regexp_extract_all({x}, '{word}')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source IS NULL AS none, coalesce(source, '') AS src, coalesce(text, '') AS text FROM documents),
+    words AS (SELECT r, {found('text')} AS ws FROM d),
+    wins AS (SELECT r, p, array_to_string(ws[p:p + {WINDOW - 1}], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM words) w),
+    twice AS (SELECT r, win FROM wins GROUP BY r, win HAVING count(*) > 1),
+    repeated AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(p, p + {WINDOW})) AS k FROM wins JOIN twice USING (r, win)) c GROUP BY r),
+    lines AS (SELECT * FROM (SELECT r, none, src, text, unnest(string_split(text, chr(10))) AS line FROM d) s WHERE regexp_matches(line, '{word}')),
+    dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+    normal AS (SELECT r, none, src, text, array_to_string({found("regexp_replace(lower(line), '[0-9]', '0', 'g')")}, ' ') AS line, len({found('line')}) AS w FROM lines),
+    counted AS (SELECT none, src, line, count(DISTINCT text) AS n FROM normal GROUP BY none, src, line HAVING count(DISTINCT text) > {min_docs}),
+    hosts AS (SELECT none, src, count(DISTINCT text) AS texts FROM d GROUP BY none, src),
+    frequent AS (SELECT none, src, line FROM counted JOIN hosts USING (none, src) WHERE n > least(texts * {host_share}::DOUBLE, {float(max_docs)})),
+    lost AS (SELECT r, sum(w)::BIGINT AS n FROM normal JOIN frequent USING (none, src, line) GROUP BY r),
+    base AS (SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, length(array_to_string(w.ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS words_removed
+        FROM d JOIN words w USING (r) LEFT JOIN dup u USING (r) LEFT JOIN repeated p USING (r) LEFT JOIN lost l USING (r)),
+    judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, n_words - words_removed AS rest FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed,
+        NOT base_failed AND NOT (words_removed > 0 AND (rest < {MIN_WORDS_LEFT} OR rest < n_words * {MIN_SHARE_LEFT}::DOUBLE)) AS kept FROM judged"""

@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.oracle(), "op10_source_mixing": mixing.oracle()}
+    return {"op3_secret_scan": secret_scan.oracle(), "op6_quality_rules": quality_rules.oracle(), "op10_source_mixing": mixing.oracle()}
