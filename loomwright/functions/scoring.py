@@ -119,6 +119,24 @@ def overall(d: Dialect, x: str, least: int = 100, weights: dict = WEIGHTS) -> st
     return f"CASE WHEN {x} IS NULL OR length({x}) < {least} THEN CAST(0 AS DOUBLE) ELSE {dbl(total)} END"
 
 
+# Why a text has its score
+REASONS = ("Invalid or empty content", "Content too short", "Insufficient technical content", "Quality assessment complete", "Content quality is marginal, consider review", "Content quality is below acceptable threshold")
+
+
+def assessment(d: Dialect, source: str, x: str, least: int = 100, technical_least: float | None = None) -> str:
+    """source (basis) with the parts, the score, its level and reason, and the details. With
+    technical_least a text whose technical part is lower scores 0."""
+    source = d.stage(source, {k: make(d, x) for k, make in PARTS.items()})
+    total = dbl(" + ".join(f"{w} * {k}" for k, w in WEIGHTS.items()))
+    gate = "FALSE" if technical_least is None else f"technical < {technical_least}"
+    source = d.stage(source, {"score": f"CASE WHEN {x} IS NULL OR length({x}) < {least} OR {gate} THEN CAST(0 AS DOUBLE) ELSE {total} END"})
+    short = f"concat({d.lit(REASONS[1] + ' (')}, CAST(length({x}) AS STRING), ' < {least} characters)')"
+    why = f"""CASE WHEN {x} IS NULL OR {x} = '' THEN {d.lit(REASONS[0])} WHEN length({x}) < {least} THEN {short} WHEN {gate} THEN {d.lit(REASONS[2])}
+        WHEN score >= 0.6 THEN {d.lit(REASONS[3])} WHEN score >= 0.4 THEN {d.lit(REASONS[4])} ELSE {d.lit(REASONS[5])} END"""
+    different = d.size(d.distinct(d.map("ps", "w", "lower(w)")))  # the empty piece at a blank end counts
+    return d.stage(source, {"level": f"CASE WHEN length({x}) >= {least} AND NOT ({gate}) THEN {level('score')} END", "reason": why, "unique_words": different, "characters": f"CAST(length({x}) AS BIGINT)"})
+
+
 def level(s: str, names=("excellent", "good", "fair", "poor"), edges=(0.8, 0.6, 0.4)) -> str:
     return "CASE " + " ".join(f"WHEN {s} >= {e} THEN '{n}'" for e, n in zip(edges, names)) + f" ELSE '{names[-1]}' END"
 

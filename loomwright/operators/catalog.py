@@ -48,6 +48,16 @@ def _url(column: str, make):
     return lambda d: f"SELECT page_id, {make(d, 'url')} AS {column} FROM pages"
 
 
+def assessed(technical_least: float | None):
+    """The whole assessment of each document, with or without the gate on technical content."""
+
+    def make(d: Dialect) -> str:
+        rows = S.assessment(d, S.basis(d, "SELECT doc_id, text FROM documents", "text"), "text", 100, technical_least)
+        return f"SELECT doc_id, readability, completeness, technical, structure, score, level, reason, n AS n_words, unique_words, characters FROM ({rows}) a"
+
+    return make
+
+
 def class_scores(d: Dialect) -> str:
     return d.stage(plain(d), {k: make(d, "text" if k == "structure" else "t") for k, make in S.CLASS_PARTS.items()})
 
@@ -392,6 +402,7 @@ CATALOG = {
     "q1_readability": _scored_doc("readability", S.readability, hits=False), "q1_repetition": _scored_doc("repetition", S.repetition, hits=False), "q1_completeness": _per_doc("completeness", S.completeness),
     "q1_technical": _scored_doc("technical", S.technical), "q1_structure": _per_doc("structure", S.structure),
     "q1_overall": lambda d: f"SELECT doc_id, score, {S.level('score')} AS level FROM ({d.stage(S.basis(d, 'SELECT doc_id, text FROM documents', 'text'), {'score': S.overall(d, 'text')})}) s",
+    "q1_assessment": assessed(None), "q1_technical_gate": assessed(0.3),
     "q2_length": _stripped("score", S.class_length), "q2_structure": _page("score", S.class_structure), "q2_readability": _stripped("score", S.class_readability),
     "q2_technical": _stripped("score", S.class_technical), "q2_noise": _stripped("score", S.class_noise),
     "q2_overall": class_overall(S.CLASS_WEIGHTS), "q2_factory": class_overall(S.FACTORY_WEIGHTS), "q2_recommendations": advice,

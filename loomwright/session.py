@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -54,10 +55,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SCRATCH: list[list[str]] = []  # of the open scratch() blocks, the paths written in each
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor
     costs only the tasks that were running on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomwright/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomwright_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; one that is gone already is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will read again."""
+    remove(df.sparkSession, df._loomwright_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that materialize() wrote inside the block when it ends; what is returned
+    from them must have been written elsewhere by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
