@@ -16,8 +16,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as parser
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -54,6 +53,59 @@ RULES = BASE + MORE
 MOST = 64  # strings that a stretch of a pattern may expand to
 
 
+_TIMES = re.compile(r"([*+?])|\{(\d+)(?:(,)(\d*))?\}")
+
+
+def _one(p: str, i: int) -> tuple[str | None, int]:
+    """The character at i and what follows; None for an escape that stands for a class."""
+    if p[i] != "\\":
+        return p[i], i + 1
+    if p[i + 1] == "x":
+        return chr(int(p[i + 2 : i + 4], 16)), i + 4
+    return (None if p[i + 1] in "dDwWsSbBAZ" else {"n": "\n", "t": "\t", "r": "\r"}.get(p[i + 1], p[i + 1])), i + 2
+
+
+def parse(p: str, i: int = 0):
+    """(alternatives, end) of a pattern from i on: lists of (what, least, most), where what is a set
+    of lower-case characters, the alternatives of a group, or None for anything else."""
+    out: list[list] = [[]]
+    while i < len(p) and p[i] != ")":
+        if p[i] == "|":
+            out.append([])
+            i += 1
+            continue
+        if p.startswith("(?i)", i):
+            i += 4
+            continue
+        what: set[str] | list | None
+        if p[i] == "(":
+            what, i = parse(p, i + (3 if p.startswith("(?:", i) else 1))
+            i += 1
+        elif p[i] == "[":
+            i, what = i + 1, set()
+            if p[i] == "^":
+                i, what = i + 1, None
+            while p[i] != "]":
+                c, i = _one(p, i)
+                if p[i] == "-" and p[i + 1] != "]":  # a range
+                    _, i = _one(p, i + 1)
+                    c = None
+                what = None if c is None or what is None else what | {c.lower()}
+            i += 1
+        elif p[i] in ".^$":
+            what, i = None, i + 1
+        else:
+            c, i = _one(p, i)
+            what = None if c is None else {c.lower()}
+        low = high = 1
+        if m := _TIMES.match(p, i):
+            i = m.end()
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[m[1]] if m[1] else (int(m[2]), int(m[4]) if m[4] else None if m[3] else int(m[2]))
+            i += i < len(p) and p[i] in "?+"  # lazy or possessive: the same strings
+        out[-1].append((what, low, high))
+    return out, i
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Clauses of trigrams, one of which every match holds whole; empty if there is no such thing."""
     best: list[frozenset[str]] = []
@@ -66,34 +118,33 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
     def expand(items) -> set[str] | None:
         """Every string that the items match, or None; on the way stretches are weighed."""
-        now: set[str] | None = {""}
+        now: set[str] = {""}
         whole = True
-        for op, arg in items:
-            part: set[str] | None = None
-            if op is sre.LITERAL:
-                part = {chr(arg).lower()}
-            elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-                part = {chr(a).lower() for _, a in arg}
-            elif op is sre.SUBPATTERN:
-                part = expand(arg[3])
-            elif op is sre.BRANCH:
-                each = [expand(x) for x in arg[1]]
-                part = None if any(x is None for x in each) else set().union(*each)
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-                lo, hi, sub = arg
-                got = expand(sub) if lo == hi == 1 or (lo, hi) == (0, 1) else None
-                part = got if got is None or lo else got | {""}
-            if part is not None and now is not None and len(now) * len(part) <= MOST:
+        for what, low, high in items:
+            part = None
+            if (low, high) in ((1, 1), (0, 1)):
+                part = every(what) if isinstance(what, list) else what
+                part = part if part is None or low else part | {""}
+            if part is not None and len(now) * len(part) <= MOST:
                 now = {a + b for a, b in product(now, part)}
             else:
-                weigh(now or set())
+                weigh(now)
                 whole, now = False, part if part is not None else {""}
         if not whole:
-            weigh(now or set())
+            weigh(now)
             return None
         return now
 
-    got = expand(parser.parse(pattern))
+    def every(branches) -> set[str] | None:
+        nonlocal best
+        if len(branches) == 1:
+            return expand(branches[0])
+        before = best
+        each = [expand(x) for x in branches]
+        best = before  # what one branch must hold, another need not
+        return None if any(x is None for x in each) else set().union(*each)
+
+    got = every(parse(pattern)[0])
     if got is not None:
         weigh(got)
     return best
