@@ -3,29 +3,30 @@
 Texts become hashed byte 3-grams of their lower-case letters (words apart by one blank); a
 vector has the weights (1 + ln tf) x idf and length 1. The idf counts all training documents.
 Each language gets up to `clusters` centroids by spherical k-means over a bounded sample of its
-training rows (PER_LANGUAGE, at most SAMPLE_ROWS in all: documented parameters). A document takes
+training rows (PER_LANGUAGE a language by a hash of doc_id, at most 2 x SAMPLE_ROWS ids in all:
+documented parameters; equal texts of a language count once). A document takes
 the language of the centroid with the greatest cosine; score is that language's share of the
 languages' softmax. A best cosine below the language's distance bound (the QUANTILE of the
 training sample's cosines) marks the row as rejected: the nearest language stays the prediction.
 
-Defined cases: null text, or no letter: `und`, score 0; null lang trains nothing; no training
+Defined cases: null text, or no letter (Unicode category L): `und`, score 0; a very long text is
+one vector of DIMS dimensions like any other; null lang trains nothing; no training
 row at all: every row is `und`; ties go to the language first in code-point order; repeated rows
 get equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import arrow_map, slices
 
 DIMS, CLUSTERS, PER_LANGUAGE, SAMPLE_ROWS, QUANTILE, SHARP = 1 << 14, 4, 500, 4000, 0.01, 20.0
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -105,17 +106,22 @@ def train(docs: DataFrame, folds: int, held: int) -> dict:
     for r in langs:
         share = F.when(F.col("lang") == r["lang"], F.lit(each / r["n"])).otherwise(share)
     draw = (F.xxhash64("doc_id", F.lit("language")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    got = arrow_map(rows.where(draw < share).select("lang", "text"), _sample, "lang string, dims array<int>, ns array<int>").limit(2 * SAMPLE_ROWS).collect()
-    by: dict[str, list] = {}
-    for r in got:
-        w = (1 + np.log(np.array(r["ns"], float))) * idf[r["dims"]]
-        x = np.zeros(DIMS, np.float32)
-        x[r["dims"]] = w / np.linalg.norm(w)
-        by.setdefault(r["lang"], []).append(x)
+    # about `each` rows a language; the bound on all is over narrow rows, in the order of the draw
+    drawn = rows.where(draw < share).select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(2 * SAMPLE_ROWS).select("doc_id").distinct()
+    picked = rows.join(F.broadcast(drawn), "doc_id").select("lang", F.xxhash64("text").alias("h"), "text").dropDuplicates(["lang", "h"])
+    got = arrow_map(picked.select("lang", "text"), _sample, "lang string, dims array<int>, ns array<int>").toArrow().combine_chunks()
+    by: dict[str, list[int]] = {}
+    for i, l in enumerate(got.column("lang").to_pylist()):
+        by.setdefault(l, []).append(i)
     names = sorted(by)
     cents, owner, bounds = [], [], []
     for k, name in enumerate(names):
-        x = np.stack(sorted(by[name], key=lambda v: v.tobytes()))
+        x = np.zeros((len(by[name]), DIMS), np.float32)  # one language at a time
+        for j, i in enumerate(by[name]):
+            dims, ns = (got.column(c)[i].values.to_numpy() for c in ("dims", "ns"))
+            w = (1 + np.log(ns)) * idf[dims]
+            x[j, dims] = w / np.linalg.norm(w)
+        x = np.stack(sorted(x, key=lambda v: v.tobytes()))
         c = _means(x, CLUSTERS)
         cents.append(c)
         owner += [k] * len(c)
