@@ -2,17 +2,21 @@
 
 Voters are lexicons and patterns, three of them lexicons that are induced from a bounded sample
 of labelled rows. Each fires or not, so a document has one of 2^VOTERS patterns, and the counts
-of the patterns over all documents are the label model's whole input. The label model is
+of the patterns over all documents are the label model's main input. The label model is
 generative: a hidden label, and for each label a tree of voters (Chow-Liu: the strongest
 conditional dependences), so that a voter's accuracy and its correlation with one other voter
-are both estimated, by expectation maximisation. The posterior labels of the sample train a
-logistic classifier on words and votes, which then scores every document.
+are both estimated, by expectation maximisation over all documents, in which a labelled row is one
+document whose label is known. The posterior labels of the sample train a logistic classifier on
+words and votes, which then scores every document; a row's own label, which can be wrong, counts
+half in its posterior.
 
 Labels are read only outside the held-out fold (crc32(doc_id) mod 5 is not 0), at most
-SAMPLE_ROWS of them. Defined cases: null or empty text gets the classifier's score of no word;
-null doc_id counts as held out; without labelled rows the lexicons alone drive the model;
-repeated rows get equal scores; an empty table gives an empty result; other columns, also such
-as are named like the labels', are ignored.
+SAMPLE_ROWS of them by a hash, one row an id. Word counts, induction and the vocabulary are
+aggregated by the cluster; the driver gets the vocabulary and the sample's word numbers. Defined cases: a very long
+text is one set of words; ties of words go by code point; null or empty text gets the
+classifier's score of no word; null doc_id counts as held out; without labelled rows the
+lexicons alone drive the model; repeated rows get equal scores; an empty table gives an empty
+result; other columns, also such as are named like the labels', are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import arrow_map, slices
+from loomwright.llm.common import arrow_map, materialize, slices
 
-SAMPLE_ROWS, VOCABULARY, ROUNDS, VOTE_L2, WORD_L2 = 6000, 20_000, 300, 0.2, 20.0
+SAMPLE_ROWS, VOCABULARY, ROUNDS, VOTE_L2, WORD_L2 = 6000, 20_000, 300, 0.2, 60.0
 # Lexicons: plain word lists of this operator
 INSULT_NAMES = frozenset("idiot idiots moron morons fool fools loser losers clown clowns imbecile dumbass jerk scumbag dimwit halfwit cretin".split())
 INSULT_SLURS = frozenset("scum vermin filth filthy swine pig parasite parasites degenerate degenerates bastard bitch asshole".split())
@@ -64,42 +68,37 @@ def votes(text: str | None, words: set[str], induced: list[frozenset[str]]) -> i
     return sum(1 << k for k, f in enumerate(fired) if f)
 
 
-def induce(sample: list[tuple[set[str], int]]) -> list[frozenset[str]]:
-    """Words and beginnings of words that mark the sample's toxic rows, dealt to three voters."""
-    toxic, clean = {}, {}
-    for words, y in sample:
-        count = toxic if y else clean
-        for w in terms_of(words):
-            count[w] = count.get(w, 0) + 1
-    n1, n0 = max(1, sum(y for _, y in sample)), max(1, sum(1 - y for _, y in sample))
-    p = n1 / (n1 + n0)
-    rate = {}
-    for w, k in toxic.items():
-        n = k + clean.get(w, 0)
-        if k >= 6 and k >= 0.8 * n and k - n * p >= 6 * np.sqrt(n * p * (1 - p)):
-            rate[w] = (k / n1) / ((n - k + 0.5) / n0)
-    chosen = sorted(sorted(rate, key=lambda w: (-rate[w], w))[:300])
+def induced_terms(counts: DataFrame, n1: int, n0: int, most: int = 300) -> list[frozenset[str]]:
+    """Words and beginnings of words that mark the sample's toxic rows (term, toxic, clean: in how
+    many rows), dealt to three voters."""
+    p = n1 / max(1, n1 + n0)
+    k, n = F.col("toxic"), F.col("toxic") + F.col("clean")
+    marks = (k >= 6) & (k >= 0.8 * n) & (k - n * p >= 6 * F.sqrt(n * p * (1 - p)))
+    rate = (k / max(1, n1)) / ((F.col("clean") + 0.5) / max(1, n0))
+    chosen = sorted(r["term"] for r in counts.where(marks).orderBy(F.desc(rate), "term").limit(most).collect())
     return [frozenset(chosen[k::INDUCED]) for k in range(INDUCED)]
 
 
 def label_model(counts: dict[int, int], known: dict[tuple[int, int], int], prior: float = 0.1, rounds: int = 8) -> dict[int, float]:
     """P(toxic | votes) for each pattern, by the tree model.
 
-    known: how often a pattern has a label in the training sample. Those rows anchor the hidden
-    label: they weigh as much as all other rows together, and their votes give the first estimates.
+    counts: how often a pattern is in all documents; known: how often it has a label in the sample.
+    A labelled row counts as one document whose label is known; the rest is the agreement of the
+    voters over all documents. The labelled rows' votes give the first estimates.
     """
     patterns = np.array(sorted(counts.keys() | {p for p, _ in known}))
     n = np.array([counts.get(p, 0) for p in patterns.tolist()], float)
     seen = np.array([[known.get((p, y), 0) for p in patterns.tolist()] for y in (0, 1)], float)
     anchored = seen.sum() > 0
-    seen *= n.sum() / seen.sum() if anchored else 0
+    n = np.maximum(n - seen.sum(0), 0)
+    prior = float(np.clip(seen[1].sum() / seen.sum(), 0.001, 0.5)) if anchored else prior
     x = (patterns[:, None] >> np.arange(VOTERS)) & 1
     silent = x.sum(1) == 0
     post = np.where(silent, 0.02, 0.9)
     for step in range(rounds):
         like = np.zeros((2, len(patterns)))
         for y in (0, 1):
-            w = seen[y] + (0 if anchored and not step else n * (post if y else 1 - post))
+            w = seen[y] + (0 if anchored and not step else n * (post if y else 1 - post))  # first the labelled rows alone
             total = w.sum() + 1
             one = (x.T @ w + 0.1) / (total + 0.2 - 1)
             both = ((x * w[:, None]).T @ x + 0.02) / (total + 0.08 - 1)
@@ -120,30 +119,54 @@ def label_model(counts: dict[int, int], known: dict[tuple[int, int], int], prior
         odds = np.log(prior / (1 - prior)) + like[1] - like[0]
         # voters are one-sided: silence is never evidence for toxicity
         post = np.where(silent, np.minimum(prior, 0.05), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-        prior = float(np.clip((n * post).sum() / max(1, n.sum()), 0.001, 0.5))
+        prior = float(np.clip(((n * post).sum() + seen[1].sum()) / max(1, n.sum() + seen.sum()), 0.001, 0.5))
     return dict(zip(patterns.tolist(), post.tolist()))
 
 
-def fit(features: list[list[int]], size: int, y: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """Logistic regression on 0/1 features with soft labels; the last weight is the constant."""
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    cols = np.fromiter((c for f in features for c in f), np.int64, len(rows))
+def fit(rows: np.ndarray, cols: np.ndarray, size: int, y: np.ndarray, l2: np.ndarray) -> np.ndarray:
+    """Logistic regression on 0/1 features (cols of rows) with soft labels; the last weight is the
+    constant. Steps shrink to nothing, so that the order of sums makes no difference that counts."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(rows, w[cols], len(features)) + w[-1]
+        z = np.bincount(rows, w[cols], len(y)) + w[-1]
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         grad = np.append(np.bincount(cols, g[rows], size) + l2 * w[:-1], g.sum()) / max(1, len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w -= 0.1 * (1 - step / (ROUNDS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w
 
 
-def _sampled(batches):
-    for b in slices(batches):
-        text = b.column("text").to_pylist()
-        words = [words_of(t) for t in text]
-        marks = pa.array([votes(t, w, []) for t, w in zip(text, words)], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([sorted(w) for w in words], pa.list_(pa.string())), marks], names=["toxic", "words", "mark"])
+def _counted(make):
+    """How many of a task's rows have each term, by label."""
+
+    def run(batches):
+        seen: dict[str, list[int]] = {}
+        for b in slices(batches):
+            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                for w in make(words_of(t)):
+                    seen.setdefault(w, [0, 0])[bool(y)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], names=["term", "toxic", "clean"])
+
+    return run
+
+
+def _same(words: set[str]) -> set[str]:
+    return words
+
+
+def _features(shared):
+    """Each sample row's label, votes and word numbers."""
+
+    def run(batches):
+        induced, vocab = shared.value
+        for b in slices(batches):
+            text = b.column("text").to_pylist()
+            words = [words_of(t) for t in text]
+            marks = pa.array([votes(t, w, induced) for t, w in zip(text, words)], pa.int32())
+            ids = pa.array([sorted(vocab[x] for x in w if x in vocab) for w in words], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), marks, ids], names=["id", "toxic", "mark", "ids"])
+
+    return run
 
 
 def _patterns(induced):
@@ -159,30 +182,34 @@ def _patterns(induced):
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> dict:
+    spark = docs.sparkSession
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (rest != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")  # SAMPLE_ROWS ids at most
-    got = arrow_map(rows, _sampled, "toxic int, words array<string>, mark int").limit(4 * SAMPLE_ROWS).collect()
-    got = sorted(got, key=lambda r: (len(r["words"]), r["words"], r["toxic"], r["mark"]))
-    sample = [(set(r["words"]), int(r["toxic"] != 0)) for r in got]
-    induced = induce(sample)
+    ids = materialize(ids.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(SAMPLE_ROWS))
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(ids), "doc_id")  # SAMPLE_ROWS ids at most
+    first = rows.groupBy("doc_id").agg(F.min("h").alias("h"))  # of rows that share an id the one with the least hash is the sample's
+    rows = rows.join(F.broadcast(first), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "toxic", "text")
+    labelled = materialize(rows)
+    n1, n0 = labelled.agg(F.count_if(F.col("toxic") != 0), F.count_if(F.col("toxic") == 0)).first()
+    summed = lambda df, make: arrow_map(df, _counted(make), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    induced = induced_terms(summed(labelled, terms_of), n1, n0)
+    common = summed(labelled, _same).select("term", (F.col("toxic") + F.col("clean")).alias("n")).where("n >= 3").orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
+    vocab = {w: VOTERS + k for k, w in enumerate(sorted(r["term"] for r in common))}
     counted = arrow_map(docs.select("text"), _patterns(induced), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^VOTERS rows
-    marks = [r["mark"] | sum(1 << (len(LEXICONS) + k) for k, lex in enumerate(induced) if not terms_of(w).isdisjoint(lex)) for r, (w, _) in zip(got, sample)]
-    known: dict[tuple[int, int], int] = {}
-    for p, (_, y) in zip(marks, sample):
-        known[p, y] = known.get((p, y), 0) + 1
+    got = arrow_map(labelled, _features(spark.sparkContext.broadcast((induced, vocab))), "id long, toxic int, mark int, ids array<int>").orderBy("id").toArrow()
+    marks, known = got.column("mark").to_pylist(), {}
+    for p, y in zip(marks, got.column("toxic").to_pylist()):
+        if y is not None:
+            known[p, int(y != 0)] = known.get((p, int(y != 0)), 0) + 1
     model = label_model({r["pattern"]: r["n"] for r in counted}, known) if counted else {}
-    soft = np.array([model[p] for p in marks])  # the sample's rows were counted too
-    df: dict[str, int] = {}
-    for w, _ in sample:
-        for x in w:
-            df[x] = df.get(x, 0) + 1
-    vocab = {w: VOTERS + k for k, w in enumerate(sorted(sorted((w for w, n in df.items() if n >= 3), key=lambda w: (-df[w], w))[:VOCABULARY]))}
-    feats = [[k for k in range(VOTERS) if p >> k & 1] + [vocab[x] for x in w if x in vocab] for p, (w, _) in zip(marks, sample)]
+    soft = np.array([(model[p] + (y != 0)) / 2 for p, y in zip(marks, got.column("toxic").to_pylist())])
     size = VOTERS + len(vocab)
-    if sample:
-        w = fit(feats, size, soft, np.append(np.full(VOTERS, VOTE_L2), np.full(len(vocab), WORD_L2)))
+    if len(marks):
+        lists = got.column("ids").combine_chunks()
+        fired = [(i, k) for i, p in enumerate(marks) for k in range(VOTERS) if p >> k & 1]
+        at = np.concatenate([np.repeat(np.arange(len(marks)), np.diff(lists.offsets.to_numpy())), np.array([i for i, _ in fired], np.int64)])
+        cols = np.concatenate([lists.flatten().to_numpy(), np.array([k for _, k in fired], np.int64)]).astype(np.int64)
+        w = fit(at, cols, size, soft, np.append(np.full(VOTERS, VOTE_L2), np.full(len(vocab), WORD_L2)))
     else:
         w = np.append(np.full(VOTERS, 4.0), -3.0)
     return {"induced": induced, "votes": w[:VOTERS], "words": {x: float(w[k]) for x, k in vocab.items() if abs(w[k]) > 1e-6}, "constant": float(w[-1])}
