@@ -8,7 +8,9 @@ that are confirmed further inside are carved as embedded media (offset, length,
 hits inside a carved piece are left to that piece). The samples are then read back from the
 stored bytes and features computed from them.
 
-Defined cases: null text is empty: its payload is 576 bytes 255; nothing confirmed at the start:
+Defined cases: a very long text is one payload of its own length, and searches for a format's end
+go forward once; ties (signatures at one place) cannot be, as no magic begins another; null text
+is empty: its payload is 576 bytes 255; nothing confirmed at the start:
 application/octet-stream; truncated or damaged structures are not confirmed; repeated rows get
 equal values; an empty table gives an empty result; other columns are ignored.
 """
@@ -30,6 +32,16 @@ UNIT, RATE, TAIL = 576, 8000, 32
 DECLARED = ("audio/wav", "image/png", "application/pdf", "image/gif")
 
 
+class Bytes(bytes):
+    """Stored bytes; `later` finds a pattern at or after growing places and reads each byte once."""
+
+    def later(self, pattern: bytes, at: int) -> int:
+        known = self.__dict__.setdefault("known", {})
+        if pattern not in known or 0 <= known[pattern] < at:
+            known[pattern] = self.find(pattern, at)
+        return known[pattern]
+
+
 def _wav(b: bytes, at: int) -> int:
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 44:
         return 0
@@ -100,8 +112,8 @@ def _jpeg(b: bytes, at: int) -> int:
 def _pdf(b: bytes, at: int) -> int:
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return 0
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+    end, table = b.later(b"%%EOF", at), b.later(b"startxref", at)
+    return end + 5 - at if 0 <= table < end else 0
 
 
 def _bmp(b: bytes, at: int) -> int:
@@ -112,16 +124,19 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
+    d, p, view = zlib.decompressobj(31), at, memoryview(b)
     try:
-        d.decompress(b[at:])
+        while not d.eof and (p < len(b) or d.unconsumed_tail):  # 64 kB of output at a time, which is dropped
+            part = d.unconsumed_tail or view[p : p + 65536]
+            p += 0 if d.unconsumed_tail else len(part)
+            d.decompress(part, 65536)
     except zlib.error:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    return p - at - len(d.unused_data) if d.eof else 0
 
 
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+    end = b.later(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, start = struct.unpack_from("<II", b, end + 12)
@@ -149,7 +164,7 @@ def _automaton():
 def sniff(raw: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of each confirmed format; pieces inside another piece are left out,
     except that the piece that begins at 0 is searched inside."""
-    found, end = [], 0
+    found, end, raw = [], 0, Bytes(raw)
     for last, k in _automaton().iter(raw.decode("latin-1")):
         magic, kind, check = FORMATS[k]
         at = last + 1 - len(magic)
