@@ -78,6 +78,7 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return out
 
 
+SHARDS_A_PART = 32
 _ENCODINGS: dict = {}
 
 
@@ -140,7 +141,10 @@ def pack(docs: DataFrame, path: str, pattern: str = PUBLIC, length: int = LENGTH
     pieces = arrow_map(keyed, _pieces(shared, pattern, length, dtype), PIECE)
     # copies share doc_id and text_key only if they are equal rows; the piece number salts long documents
     shard = F.pmod(F.xxhash64("doc_id", "text_key", "piece"), F.lit(shards))
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack(length, dtype, pad), ROW)
+    # a partition takes SHARDS_A_PART shards, however many there are in all
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-shards // SHARDS_A_PART), min(shards, 2 * cores))
+    return pieces.withColumn("shard", shard).repartition(parts, "shard").groupBy("shard").applyInArrow(_pack(length, dtype, pad), ROW)
 
 
 def _unpack(dtype):
