@@ -156,7 +156,15 @@ def test_secret_spans(docs, none):
     for r in secret_scan.RULES:
         for clause in secret_scan.trigram_query(r.pattern):
             assert all(len(t) == 3 for t in clause)
-    assert not secret_scan.trigram_query("[0-9a-f]{32,}")
+    assert not secret_scan.trigram_query("[0-9a-f]{32,}") and not secret_scan.trigram_query("(abcd[0-9]|xy)z")
+    query = lambda p: {tuple(sorted(c)) for c in secret_scan.trigram_query(p)}
+    assert query(r"a\.b{1}c\x41") == {(".bc", "a.b", "bca")} and query("(?i)(ABCD|wxyz)[0-9]+") == {("abc", "bcd"), ("wxy", "xyz")}
+    for _ in range(300):  # every match holds all trigrams of some clause
+        parts = [rng.choice(["abc", "xyz9", "(?:foo|barbaz)", "q?", "[mn]op", "[0-9]+", "k{2}", "tok_?en", r"\."]) for _ in range(rng.randint(1, 5))]
+        made = "".join({"(?:foo|barbaz)": rng.choice(["foo", "barbaz"]), "q?": rng.choice(["q", ""]), "[mn]op": rng.choice("mn") + "op", "[0-9]+": str(rng.randint(0, 999)), "k{2}": "kk", "tok_?en": rng.choice(["token", "tok_en"]), r"\.": "."}.get(p, p) for p in parts)
+        assert re.fullmatch("".join(parts), made)
+        clauses = secret_scan.trigram_query("".join(parts))
+        assert not clauses or any(all(t in made for t in c) for c in clauses), (parts, made, clauses)
 
 
 def test_quality_rules(spark, docs, none):
@@ -369,6 +377,64 @@ def test_language_held_out(spark, docs, none, sf_dir):
     assert language_id.predict(none).count() == 0
 
 
+def test_language_brute_force(spark, sf_dir):
+    """Counts, idf, cosines and the rule of rejection in plain Python against the operator."""
+    import math
+
+    import regex
+
+    d = table(spark, sf_dir, "documents")
+    model = language_id.train(d, 3, 1)
+
+    def grams(t):
+        w = regex.findall(r"\p{L}+", (t or "").lower())
+        raw = (" " + " ".join(w) + " ").encode()
+        return Counter(((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435769 % 2**32) >> 18 for k in range(len(raw) - 2)) if w else None
+
+    rows = [(r["doc_id"], grams(r["text"]), r["lang"]) for r in d.collect()]
+    train = [g for i, g, lang in rows if g and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    df = Counter(k for g in train for k in g)
+    idf = lambda k: math.log((1 + len(train)) / (1 + df[k])) + 1
+    assert all(model["idf"][k] == pytest.approx(idf(k)) for k in list(df)[:2000])
+    got = {r["doc_id"]: r for r in language_id.predict(d).collect()}
+    for i, g, _ in rows:
+        if not g:
+            assert got[i]["lang_pred"] == "und"
+            continue
+        v = {k: (1 + math.log(n)) * idf(k) for k, n in g.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(c[k] * x for k, x in v.items()) / norm for c in model["centroids"]]
+        best = [max(x for x, o in zip(cos, model["owner"]) if o == k) for k in range(len(model["langs"]))]
+        top = max(best)
+        assert got[i]["lang_pred"] == model["langs"][best.index(top)] and got[i]["score"] == pytest.approx(1 / sum(math.exp(20 * (b - top)) for b in best), rel=1e-4)
+        assert got[i]["rejected"] == (top < model["bounds"][best.index(top)]) or abs(top - model["bounds"][best.index(top)]) < 1e-6
+    assert all(abs((c * c).sum() - 1) < 1e-4 for c in model["centroids"])
+    odd = spark.createDataFrame([(1, "²③½"), (2, "12 ² !"), (3, "ab ²")], "doc_id long, text string").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language_id.predict(d.select("doc_id", "text", "lang").union(odd.selectExpr("doc_id + 10000000", "text", "lang"))).where("doc_id > 10000000").collect()} == {10000001: True, 10000002: True, 10000003: False}
+
+
+def test_label_model_recovers_accuracies():
+    """Votes drawn from known rates, two voters copying each other: posteriors follow the truth,
+    labelled rows anchor it, and the classifier settles whatever the order of its rows."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    n, n_voters = 20_000, toxicity.VOTERS
+    y = r.random(n) < 0.15
+    votes = [np.where(y, r.random(n) < 0.6, r.random(n) < 0.03) for _ in range(n_voters - 1)]
+    votes.append(np.where(r.random(n) < 0.9, votes[0], r.random(n) < 0.1))  # a copy of the first
+    pattern = sum(v.astype(int) << k for k, v in enumerate(votes))
+    known = Counter((int(p), int(t)) for p, t in zip(pattern[:2000], y[:2000]))
+    post = toxicity.label_model(Counter(pattern.tolist()), known)
+    p = np.array([post[int(x)] for x in pattern])
+    assert ((p >= 0.5) == y).mean() > 0.98 and abs(p.mean() - 0.15) < 0.06  # silence has 0.05
+    rows, cols = np.repeat(np.arange(200), 3), r.integers(0, 30, 600)
+    soft, l2 = r.random(200), np.full(30, 1.0)
+    order = r.permutation(600)
+    a, b = toxicity.fit(rows, cols, 30, soft, l2), toxicity.fit(rows[order], cols[order], 30, soft, l2)
+    assert np.abs(a - b).max() < 1e-6
+
+
 def test_toxicity_held_out(spark, docs, none, sf_dir):
     base = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
     d, labels = table(spark, base, "documents"), table(spark, base, "labels")
@@ -383,6 +449,40 @@ def test_toxicity_held_out(spark, docs, none, sf_dir):
     assert toxicity.score(docs, empty).count() == docs.count() and toxicity.score(none, empty).count() == 0
 
 
+def test_media_brute_force(docs):
+    """Every column of the digests from Python's own wave module and plain arithmetic."""
+    import io
+    import math
+    import time
+    import wave
+
+    for r in media.digests(docs).collect():
+        raw = next(t for t in ([(x["text"] or "").encode() for x in docs.where("doc_id <=> " + ("NULL" if r["doc_id"] is None else str(r["doc_id"]))).collect()]) if len(t) == r["n_bytes"])
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(payload)
+        n = Counter(payload)
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in n.values())
+        turns = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+        got = dict(x.split("=") for x in r["feature"].split(";")[1:])
+        assert r["feature"].split(";")[0].endswith(">audio/wav") and got["carved"] == "none" and int(got["turns"]) == turns and int(got["peak"]) == max(payload)
+        assert float(got["mean"]) == pytest.approx(sum(payload) / len(payload), abs=1e-6) and float(got["entropy"]) == pytest.approx(max(0, entropy), abs=1e-5)
+    for magic in (b"%PDF-1.", b"PK\x03\x04", b"%PDF-1. startxref "):
+        began = time.time()
+        media.sniff(media.store(magic * 40_000))
+        assert time.time() - began < 2
+    import gzip
+
+    bomb = gzip.compress(b"\0" * 50_000_000)
+    assert [(k, n) for _, n, k in media.sniff(media.store(b".." + bomb + b".."))[1:]] == [("application/gzip", len(bomb))]
+
+
 def test_media_round_trip(docs, none):
     for r in media.digests(docs).collect():
         assert r["payload_bytes"] % 576 == 0 and r["payload_bytes"] >= max(576, r["n_bytes"])
@@ -404,6 +504,146 @@ def test_media_round_trip(docs, none):
     assert all(r["media_type"] == "audio/wav" for r in cols) and media.digests(none).count() == 0
 
 
+def test_pipeline_brute_force(spark):
+    """All five stages against plain Python on a small corpus with a hot line, near lines, near
+    copies, nulls and repeated rows; also empty, and with columns of other names."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    menu, words = "the menu of this host 7", re.compile(r"[^\x20\x09-\x0D]+")
+    sentence = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    base = [f"{sentence(30)}\n{sentence(9)}" for _ in range(60)]
+    texts = [(f"{menu}\n{x}" if i % 2 else x, f"h{i % 2}") for i, x in enumerate(base)]
+    texts += [(x + " " + sentence(1), "h0") for x in base[:6]] + [(f"{sentence(25)}\n{edited(r, base[7].split(chr(10))[1], 2)}", None) for _ in range(3)]
+    long_ = [sentence(70) for _ in range(5)]
+    texts += [(" ".join("Xyzzyplugh" + w if k == j else w for k, w in enumerate(x.split())), f"h{n % 2}") for n, x in enumerate(long_) for j in (-1, 10, 40)]  # one word of 70: similarity 0.86
+    texts += [("few words", "h0"), ("same words here and again " * 9, "h1"), (f"{menu} \n" + sentence(4), "h1"), (None, "h0"), ("", None)]
+    rows = [(i, t, "en", s, None if t is None else len(t), i) for i, (t, s) in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, base[9], "en", "h0", 1, 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _other long"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+
+    # quality rules
+    norm = lambda x: " ".join(words.findall(re.sub(r"\d", "0", x.lower())))
+    distinct, holds = defaultdict(set), defaultdict(set)
+    for _, t, _, s, *_ in rows:
+        distinct[s].add(t or "")
+        for x in (t or "").split("\n"):
+            if norm(x):
+                holds[s, norm(x)].add(t or "")
+    over = {k for k, v in holds.items() if len(v) > max(20, min(100, 0.1 * len(distinct[k[0]])))}
+    assert over
+    d = []
+    for i, t, lang, s, n, o in rows:
+        w = words.findall(t or "")
+        wins = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        rep = len({j for k in range(len(w) - 7) if wins[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)})
+        gone = sum(len(words.findall(x)) for x in (t or "").split("\n") if (s, norm(x)) in over)
+        left = len(w) - gone
+        if len(w) >= 20 and 100 * rep <= 30 * len(w) and not (gone and (left < 20 or left < 0.3 * len(w))):
+            d.append((i, "\n".join(x for x in t.split("\n") if (s, norm(x)) not in over), s))
+    got = corpus_pipeline.quality(spark, docs, None)
+    assert got.columns == docs.columns and Counter((x["doc_id"], x["text"], x["source"]) for x in got.collect()) == Counter(d)
+    stage = spark.createDataFrame(got.collect(), schema)
+
+    # line dedup
+    key = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), 42), "big", signed=True)
+    at = {(i is None, i or 0, key(t), p): line_dedup.normal(x) for i, t, _ in d for p, x in enumerate(t.split("\n")) if line_dedup.normal(x)}
+    ids = {line_dedup.line_id(x): x for x in at.values()}
+    long = [i for i in ids if len(ids[i]) >= 12]
+    root = least_reached([(a, b) for a in long for b in long if a < b and line_dedup.within(ids[a], ids[b], 2)], ids)
+    first = {}
+    for k in sorted(at, reverse=True):
+        first[root[line_dedup.line_id(at[k])]] = k
+    stays = lambda i, t, p: (k := (i is None, i or 0, key(t), p)) not in at or first[root[line_dedup.line_id(at[k])]] == k
+    d = [(i, "\n".join(x for p, x in enumerate(t.split("\n")) if stays(i, t, p)), s) for i, t, s in d]
+    got = corpus_pipeline.lines(spark, stage, None)
+    assert Counter((x["doc_id"], x["text"], x["source"]) for x in got.collect()) == Counter(d)
+    stage = spark.createDataFrame(got.collect(), schema)
+
+    # near-dedup: five words, similarity 0.8
+    def grams(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {t: grams(t) for _, t, _ in d}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    order = {t: k for k, t in enumerate(sets)}
+    group = least_reached([(order[a], order[b]) for a in sets for b in sets if order[a] < order[b] and near(sets[a], sets[b])], list(order.values()))
+    best = {}
+    for i, t, s in d:
+        k = (i is None, i or 0, key(t))
+        best[group[order[t]]] = min(best.get(group[order[t]], (k, i, t)), (k, i, t), key=lambda x: x[0])
+    kept = {(i, t) for _, i, t in best.values()}
+    got = corpus_pipeline.near_copies(spark, stage, None)
+    assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == Counter(kept) and len(kept) < len({(i, t) for i, t, _ in d})
+    stage = spark.createDataFrame(got.collect(), schema)
+    d = [(x["doc_id"], x["text"], x["source"]) for x in stage.collect()]
+
+    # mixing: golden-ratio slots over blocks of 4,096 words, in plain loops
+    size = Counter()
+    for _, t, s in d:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    target, open_, rest = {}, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(size.values())
+    while open_:
+        level = rest / sum(open_.values())
+        full = [s for s, w in open_.items() if w * level > 2 * size[s]]
+        for s in full or list(open_):
+            target[s] = 2.0 * size[s] if full else open_[s] * level
+            rest -= target[s]
+            del open_[s]
+    live = [s for s in names if size[s]]
+    want = {s: int(target[s] + 0.5) for s in live}
+    blocks = {s: -(-size[s] // 4096) for s in live}
+    need = {s: want[s] // size[s] * blocks[s] + -(-(want[s] % size[s]) // 4096) for s in live}
+    total, edge, low = sum(need[s] + 64 for s in live), {}, 0
+    for s in live:
+        edge[s] = (int(2**32 * low / total), int(2**32 * (low + need[s] + 64) / total))
+        low += need[s] + 64
+    rank, whole, part = Counter(), Counter(), Counter()
+    for t in range(total):
+        for s in live:
+            if edge[s][0] <= t * 2654435769 % 2**32 < edge[s][1]:
+                k, rest_ = rank[s], want[s] % size[s]
+                rank[s] += 1
+                if k < need[s]:
+                    if k == need[s] - 1 and rest_:
+                        part[s, k % blocks[s]] += (rest_ - 1) % 4096 + 1
+                    else:
+                        whole[s, k % blocks[s]] += 1
+    mixed = Counter()
+    for s in live:
+        h = lambda i: int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:12], 16)
+        start = 0
+        for i, t, _ in sorted((x for x in d if x[2] == s), key=lambda x: (h(x[0]) % 4096, h(x[0]), x[0] is not None, x[0] or 0)):
+            n = len(t.split())
+            take = 0
+            for b in range(start // 4096, (start + n - 1) // 4096 + 1 if n else 0):
+                lo, hi = max(start, b * 4096) - b * 4096, min(start + n, (b + 1) * 4096) - b * 4096
+                take += whole[s, b] * (hi - lo) + max(0, min(hi, part[s, b]) - lo)
+            start += n
+            if n:
+                times, tail = divmod(take, n)
+                mixed[i, t] += times
+                if tail:
+                    ends = [m.end() for m in words.finditer(t)]
+                    mixed[i, t[: ends[tail - 1]]] += 1
+    got = corpus_pipeline.mixture(spark, stage, None)
+    assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == +mixed
+    stage = spark.createDataFrame(got.collect(), schema)
+
+    # BPE, and the whole run
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    tokens = Counter((x["doc_id"], len(e := enc.encode_ordinary(x["text"])), sha(" ".join(map(str, e)).encode()), sha(x["text"].encode())) for x in stage.collect())
+    assert Counter(map(tuple, corpus_pipeline.tokens(spark, stage, None).collect())) == tokens
+    none = spark.createDataFrame([], schema)
+    for name, fn in corpus_pipeline.STAGES:
+        out = fn(spark, none, None)
+        assert out.count() == 0 and (out.columns == none.columns or name == "byte-level BPE")
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
