@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, byte-level BPE.
 
 Each stage works on all that the stage before it kept and is written as Parquet to the folder
-that driver and executors share; the next stage reads it from there.
+that driver and executors share; the next stage reads it from there, after which it is deleted
+with all that its stage wrote on the way.
+
+Defined cases: a null text goes in the quality rules, as it has no words; a null doc_id or source
+is a value of its own and goes last in every order; rows equal in doc_id and text are one
+document, of which near-dedup keeps one row; ties follow doc_id, then a hash of the text; very
+long texts are whole texts like any other; an empty table stays empty; other columns are kept up
+to the last stage, but for names that begin with _lw_, which are reserved.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.llm import bpe, line_dedup, mixing, quality_rules, simhash
-from loomwright.session import shared_dir, table
+from loomwright.session import remove, scratch, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +52,13 @@ ORACLE_SQL = None  # edit distances, fingerprints and BPE are beyond SQL: tests/
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/loomwright/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

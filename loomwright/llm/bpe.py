@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 from loomwright.llm.common import arrow_map, slices
 
 STEPPED = 400
-CACHE = 150_000  # pieces in each of the two generations of the cache
-BATCH_BYTES = 200_000  # of pieces in one recursive query, which holds every step of them
+TEXT_BYTES = 1_000_000  # of texts that are cut into pieces at a time
+CACHE = 120_000  # pieces in each of the two generations of the cache
+BATCH_BYTES = 100_000  # of pieces in one recursive query, which holds every step of them
 # \\s as the pattern's own library reads it: Unicode White_Space
 _S = r"\t-\r \x85\xa0  -     　"
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"  # letters, numbers below U+0250
@@ -130,7 +131,7 @@ class Coder:
         self.public = pattern == PUBLIC
         self.one = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '300MB'; SET enable_progress_bar = false; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '200MB'; SET enable_progress_bar = false; SET preserve_insertion_order = false")
         self.db.register("merge_rows", merges)
         self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS SELECT pair, m FROM merge_rows; CREATE TABLE vocab AS SELECT id, raw FROM vocab_rows")
@@ -233,7 +234,7 @@ def _coded(vocabulary, pattern, fn):
 
 
 def _texts(b: pa.RecordBatch):
-    for part in slices([b]):
+    for part in slices([b], most=TEXT_BYTES):
         yield part, [t or "" for t in part.column("text").to_pylist()]
 
 

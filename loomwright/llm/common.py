@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import materialize, ship, shared_dir, table  # noqa: F401
+from loomwright.session import discard, materialize, ship, shared_dir, table  # noqa: F401
 
 #: Bytes of files, and rows, that may be broadcast; beyond either every join is a shuffle join.
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
 #: Files that are small at any ratio of compression: their rows need no count.
 TINY_BYTES = 2 << 20
-#: Bytes of text that a Python kernel holds at a time.
+#: Bytes of text that a Python kernel holds at a time, and of a batch that it is sent.
 SLICE_BYTES = 4_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,15 +41,25 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         yield b.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and the next stage needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow with the package shipped to the executors."""
-    ship(df.sparkSession)
+    """mapInArrow with the package shipped to the executors, in batches of SLICE_BYTES or so."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set(BATCH_BYTES, SLICE_BYTES)
 
     def run(batches):
         try:
             yield from fn(batches)
-        finally:  # workers are reused: give back what this task's batches took
-            pa.default_memory_pool().release_unused()
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -53,11 +68,16 @@ def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of df: of a written table, its files'."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame) -> DataFrame:
     """Mark a written table for broadcast if its files' bytes (as the planner knows them) and its
     rows stay under the bounds; beyond them the join shuffles and adaptive execution splits skewed
     partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = planned_bytes(df)
     fits = size <= TINY_BYTES or size <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(df) if fits else df
 
@@ -67,16 +87,44 @@ def doc_key(df: DataFrame) -> DataFrame:
     return df.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Bytes of written edges (about 16 each) that one task takes; more are joined round by round.
+EDGE_BYTES = 8 << 20
+
+
+def _joined(batches):
+    """(node, root) of edges (u, v) that fit in memory: hooks to the lesser root, then shortcuts."""
+    got = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v = (got.column(c).to_numpy() for c in ("u", "v"))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        x, y = up[a], up[b]
+        if (open_ := x != y).any():
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+            while (further := up[up]).tobytes() != up.tobytes():
+                up = further
+        else:
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, edge_bytes: int = EDGE_BYTES) -> DataFrame:
     """Components of undirected edges (src, dst: long) as rows (node, root), root the least node.
 
-    Alternates large-star and small-star steps until the edges stay the same; each round is
-    written to the shared folder. Every step is an aggregate and an equi-join, so nothing is
-    gathered in one task or on the driver. No edges: no rows. Self-loops and repeats are ignored.
+    Edges of up to edge_bytes (as written) are joined in one task. More of them alternate
+    large-star and small-star steps until they stay the same; each round is written to the shared
+    folder, and every step is an aggregate and an equi-join, so nothing without a bound is gathered
+    in one task or on the driver. No edges: no rows. Self-loops and repeats are ignored.
     """
     e = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if planned_bytes(e) <= edge_bytes:
+        out = materialize(arrow_map(e.coalesce(1), _joined, "node long, root long"))
+        discard(e)
+        return out
     before = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).toDF("u", "v")
@@ -84,7 +132,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
-        e = materialize(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialize(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

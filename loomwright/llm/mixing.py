@@ -21,6 +21,9 @@ are ignored here and kept by `mixed_documents`.
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
 BLOCK, BUCKETS, CHUNK, MARGIN = 4096, 4096, 65536, 64
 PHI32 = 2654435769  # 2^32 / golden ratio
 WORD = r"[^\x20\x09-\x0D]+"
+_WORDS = re.compile(WORD)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -175,11 +179,7 @@ def _cut(batches):
                 texts.append(text)
                 chars.append(None)
             if rest:
-                raw, end = text.encode(), 0
-                words = raw.split(None, rest)
-                tail = len(words[rest]) if len(words) > rest else 0
-                end = len(raw) - tail
-                cut = raw[:end].decode().rstrip(" \t\n\x0b\x0c\r")
+                cut = text[: next(itertools.islice(_WORDS.finditer(text), rest - 1, None)).end()]
                 rows.append(i)
                 texts.append(cut)
                 chars.append(len(cut))

@@ -13,7 +13,7 @@ key and verified in the join condition. Keys that hold more than `bucket` finger
 out of that join; their members get all 65 words within one bit as exact keys instead, where
 equal keys prove a link and a star around the least member stands for all pairs.
 
-Defined cases: null or empty texts have fingerprint 0 and are linked like any other; fewer
+Defined cases: a very long text is hashed like any other; a bit set in exactly half is 0; null or empty texts have fingerprint 0 and are linked like any other; fewer
 words than a shingle: the whole sequence is the shingle; null doc_id never names a component
 unless it has no other member; repeated rows come back as often as they are given; an empty
 table gives an empty result; other columns are ignored.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import arrow_map, connected_components, materialize, slices, small
+from loomwright.llm.common import arrow_map, connected_components, discard, materialize, slices, small
 
 SHINGLE, SEED, BUCKET = 3, 42, 256
 GOLAY = 0b101011100011  # fixed value: generator polynomial of the binary Golay code
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+GROUP_WORK = 200_000_000  # members times shingles of a band that one task takes
 ROWS_A_BAND, BANDS = 5, 24  # at a similarity of 0.8 two texts share a band with 1 - 7e-5, above it with more
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ROWS_A_BAND * BANDS)], np.uint64)
 _ADD = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(ROWS_A_BAND * BANDS)], np.uint64)
@@ -209,58 +210,136 @@ def _shingle_sets(shingle):
 
 def _similar(keyed: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
     """Those of the pairs (a, b: text keys) whose shingle sets have the Jaccard similarity."""
-    need = small(materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()))
-    grams = keyed.select(F.col("text_key").alias("k"), "text").join(need, "k", "left_semi").dropDuplicates(["k"])
+    need = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+    grams = keyed.select(F.col("text_key").alias("k"), "text").join(small(need), "k", "left_semi").dropDuplicates(["k"])
     grams = materialize(arrow_map(grams, _shingle_sets(shingle), "k long, grams array<long>"))
     side = lambda c: grams.select(F.col("k").alias(c), F.col("grams").alias("grams_" + c))
     common, either = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
     held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), either.alias("sum"))
     # both empty: equal texts without words
-    return materialize(held.where(F.col("common") >= (F.col("sum") - F.col("common")) * min_similarity).select("a", "b"))
+    found = materialize(held.where(F.col("common") >= (F.col("sum") - F.col("common")) * min_similarity).select("a", "b"))
+    discard(need)
+    discard(grams)
+    return found
 
 
 def _paired(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _banded_links(prints: DataFrame, keyed: DataFrame, first: DataFrame, shingle: int, min_similarity: float, stars: int = 3) -> DataFrame:
+class _Search:
+    """Links between texts found so far, and the pairs that need no second look."""
+
+    def __init__(self, keyed: DataFrame, shingle: int, min_similarity: float):
+        self.keyed, self.shingle, self.min_similarity = keyed, shingle, min_similarity
+        self.held = self.done = self.groups = None
+
+    def check(self, pairs: DataFrame) -> bool:
+        """Check pairs (a, b) that were not checked before; whether there were any."""
+        pairs = pairs.distinct()
+        pairs = materialize(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return False
+        self.done = pairs if self.done is None else self.done.union(pairs)
+        found = _similar(self.keyed, pairs, self.shingle, self.min_similarity)
+        self.held = found if self.held is None else self.held.union(found)
+        return True
+
+    def links(self, none: DataFrame) -> DataFrame:
+        return none.limit(0) if self.held is None else self.held
+
+    def split(self, members: DataFrame) -> DataFrame:
+        """The members (band, k, company) of bands that are in different components, with their
+        roots and how many they are. Pairs within a component could change nothing."""
+        if self.held is None:
+            now = members.withColumn("root", F.col("k"))
+        else:
+            if self.groups is not None:
+                discard(self.groups)
+            self.groups = groups = materialize(connected_components(self.held.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+            now = members.join(small(groups), F.col("k") == F.col("node"), "left").select("band", "k", "company", F.coalesce("root", "k").alias("root"))
+        open_ = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
+        return materialize(now.join(open_, "band"))
+
+
+def _group_links(min_similarity):
+    """Links that join the members of one band: common shingles are counted through postings."""
+
+    def run(table: pa.Table) -> pa.Table:
+        k, root = table.column("k").to_pylist(), table.column("root").to_pylist()
+        grams = table.column("grams").combine_chunks()
+        sizes = np.diff(grams.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(k)), sizes)
+        _, gram = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(gram, kind="stable")
+        holders, ends = owner[order], np.cumsum(np.bincount(gram))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        name = dict(zip(root, range(len(root))))
+        group = np.array([name[r] for r in root])
+        out: list[tuple[int, int]] = []
+        for i in range(len(k) - 1):
+            own = gram[at[i] : at[i + 1]]
+            n = ends[own] - starts[own]
+            place = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(holders[place], minlength=len(k))
+            near = np.flatnonzero((common >= (sizes + sizes[i] - common) * min_similarity) & (group != group[i]))
+            for j in near[near > i].tolist():
+                if group[j] != group[i]:
+                    out.append((min(k[i], k[j]), max(k[i], k[j])))
+                    group[group == group[j]] = group[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _banded_links(prints: DataFrame, keyed: DataFrame, first: DataFrame, shingle: int, min_similarity: float, stars: int = 2, work: int = GROUP_WORK) -> DataFrame:
     """Links (a, b) that hold, with the pairs `first` among the candidates: as components they
     equal those of all pairs of texts in a common band.
 
     Each band's members meet one leader (first the one with most company), and only bands whose
-    members are still in different components get another leader; after `stars` rounds all
-    pairs from different components that are left are checked. Pairs within a component could
-    change nothing, so a large group of near copies costs a star and no square.
+    members are still in different components get another leader; so a large group of near copies
+    costs a star and no square. Bands that are open after `stars` rounds (texts that share much,
+    but not enough) are solved in one task each, where no pairs are made, if their members times
+    their shingles are at most `work` (bands with the same members once). What is beyond that is
+    compared pair by pair.
     """
     texts = prints.groupBy("text_key").agg(F.first("bands").alias("bands"))
-    banded = texts.select(F.col("text_key").alias("k"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(banded.join(shared, "band"))
-    company = members.groupBy("k").agg(F.sum("n").alias("company"))
-    members = materialize(members.join(small(materialize(company)), "k").withColumn("root", F.col("k")))
-    held = None
-    done = first
-    for turn in range(stars + 1):
-        if turn < stars:
-            rank = F.struct("company", "k") if not turn else F.struct(F.xxhash64("k", F.lit(turn)), "k")
-            leader = members.groupBy("band").agg(F.max_by(F.struct("k", "root"), rank).alias("l"))
-            met = members.join(small(materialize(leader)), "band").where("root <> l.root").select(*_paired("k", "l.k"))
-        else:
-            x, y = members.select("band", F.col("k").alias("x"), F.col("root").alias("rx")), members.select("band", F.col("k").alias("y"), F.col("root").alias("ry"))
-            met = x.join(y, "band").where("x < y and rx <> ry").select(*_paired("x", "y"))
-        pairs = met.union(first).distinct() if not turn else met.distinct().join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            continue
-        done = pairs if not turn else done.union(pairs)
-        found = _similar(keyed, pairs, shingle, min_similarity)
-        held = found if held is None else held.union(found)
-        groups = materialize(connected_components(held.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        now = members.drop("root").join(small(groups), F.col("k") == F.col("node"), "left").select("band", "k", "n", "company", F.coalesce("root", "k").alias("root"))
-        # a band of two has met; one component has nothing left to find
-        split = now.where("n > 2").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        members = materialize(now.join(split, "band", "left_semi"))
-    return done.limit(0) if held is None else held
+    every = texts.select(F.col("text_key").alias("k"), F.explode("bands").alias("band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(every.join(shared, "band"))
+    company = materialize(members.groupBy("k").agg(F.sum("n").alias("company")))
+    left = materialize(members.join(small(company), "k").withColumn("root", F.col("k")))
+    search = _Search(keyed, shingle, min_similarity)
+    for turn in range(stars):
+        if turn:
+            old, left = left, search.split(members)  # members are rows of the old one
+            discard(old)
+            if left.isEmpty():
+                return search.links(first)
+        rank = F.struct("company", "k") if not turn else F.struct(F.xxhash64("k", F.lit(turn)), "k")
+        leader = materialize(left.groupBy("band").agg(F.max_by(F.struct("k", "root"), rank).alias("l")))
+        met = left.join(small(leader), "band").where("root <> l.root").select(*_paired("k", "l.k"))
+        search.check(met if turn else met.union(first))
+        discard(leader)
+        members = left.where("n > 2").select("band", "k", "company")  # a band of two has met
+    left = search.split(members)
+    if left.isEmpty():
+        return search.links(first)
+    alike = left.groupBy("band").agg(F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sig"), F.first("n").alias("n"))
+    once = small(materialize(alike.groupBy("sig", "n").agg(F.min("band").alias("band")).select("band")))
+    left = left.join(once, "band", "left_semi").select("band", "k", "root", "n")
+    need = small(materialize(left.select("k").distinct()))
+    rows = keyed.select(F.col("text_key").alias("k"), "text").join(need, "k", "left_semi").dropDuplicates(["k"])
+    grams = materialize(arrow_map(rows, _shingle_sets(shingle), "k long, grams array<long>"))
+    load = left.join(small(materialize(grams.select("k", F.size("grams").alias("size")))), "k").groupBy("band").agg((F.sum("size") * F.first("n")).alias("work"))
+    load = small(materialize(load))
+    apart = left.join(load.where(F.col("work") <= work).select("band"), "band", "left_semi").join(grams, "k").select("band", "k", "root", "grams")
+    search.held = search.links(first).union(materialize(apart.groupBy("band").applyInArrow(_group_links(min_similarity), "a long, b long")))
+    large = left.join(load.where(F.col("work") > work).select("band"), "band", "left_semi")
+    x, y = large.select("band", F.col("k").alias("x"), F.col("root").alias("rx")), large.select("band", F.col("k").alias("y"), F.col("root").alias("ry"))
+    search.check(x.join(y, "band").where("x < y and rx <> ry").select(*_paired("x", "y")))
+    return search.held
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from loomwright.llm import bpe, language_id, line_dedup, media, mixing, packing, quality_rules, secret_scan, simhash, toxicity
+from loomwright.llm import bpe, common, language_id, line_dedup, media, mixing, packing, quality_rules, secret_scan, simhash, toxicity
 from loomwright.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -265,7 +265,7 @@ def least_reached(links, nodes):
     return {x: find(x) for x in nodes}
 
 
-@pytest.mark.parametrize("most,rows_a_task", [(10_000, 0), (3, 20_000), (1, 20_000), (3, 0), (1, 60)])
+@pytest.mark.parametrize("most,rows_a_task", [(10_000, 0), (3, 20_000), (1, 60)])
 def test_line_classes_of_dense_groups(spark, most, rows_a_task):
     """The classes are those of all pairs: in groups where all pairs are links, where lines share
     most of their characters and few are links, and where all share a segment and none is a link."""
@@ -282,6 +282,17 @@ def test_line_classes_of_dense_groups(spark, most, rows_a_task):
     assert len(pairs) > 3000 and (got == pairs if most > 1000 else len(got) < len(pairs) / 4)
 
 
+@pytest.mark.parametrize("edge_bytes", [0, 1 << 20])
+def test_components(spark, edge_bytes):
+    """Chains, stars, loops and repeats: both ways give every node the least one it reaches."""
+    r = random.Random(6)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(-5, k) for k in range(200, 240)] + [(7, 7), (8, 9), (9, 8), (8, 9)] + [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(120)]
+    want = least_reached([e for e in edges if e[0] != e[1]], {x for e in edges if e[0] != e[1] for x in e})
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    assert {x["node"]: x["root"] for x in common.connected_components(frame, edge_bytes=edge_bytes).collect()} == want
+    assert common.connected_components(frame.limit(0)).count() == 0
+
+
 def test_line_report_brute_force(spark, docs):
     """Every column of the report against plain Python, repeated rows and null ids included."""
     want = Counter()
