@@ -141,6 +141,27 @@ def test_bpe_equals_library(spark, docs, none):
     assert bpe.round_trip(none, RANKS).count() == 0
 
 
+def test_bpe_learns_a_piece_once(monkeypatch):
+    ranks = bpe.read_ranks(RANKS)
+    c = bpe.Coder(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN)
+    learnt = Counter()
+    monkeypatch.setattr(c, "learn", lambda pieces: (learnt.update(pieces), c._keep([p.encode() for p in pieces], ((w, p.encode()) for w, p in enumerate(pieces)), ["0"] * len(pieces))))
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    slices = [[" ".join(hex(n)[2:].translate(letters) for n in range(k, k + 20_000))] for k in range(0, 280_000, 20_000)]
+    for part in slices + slices:  # as many as one generation of the cache takes
+        c.encode(part)
+    assert len(learnt) > 270_000 and set(learnt.values()) == {1}
+
+
+def test_bpe_rows_out_of_order(monkeypatch):
+    ranks = bpe.read_ranks(RANKS)
+    make = lambda: bpe.Coder(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN)
+    texts = [prose(30), "unsortable pieces 12345678901", "日本語 🙂"]
+    whole = make().encode(texts)
+    monkeypatch.setattr(bpe, "SORTED", bpe.SORTED.replace("e.w, e.p)", "e.w, e.p DESC)"))
+    assert make().encode(texts) == whole and "DESC" in bpe.SORTED
+
+
 def test_secret_spans(docs, none):
     def brute(t):
         out = []
