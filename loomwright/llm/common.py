@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.session import discard, materialize, ship, shared_dir, table  # noqa: F401
@@ -49,6 +49,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Have the executors' JVMs return the heap that they do not need: a heap grows while there is
+    garbage and keeps its pages, which workers need later. One task for each core; a JVM that is
+    told to disregard such requests keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with the package shipped to the executors, in batches of SLICE_BYTES or so."""
     spark = df.sparkSession

@@ -690,3 +690,17 @@ def test_pipeline_stages(spark, sf_dir):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     want = Counter((r["doc_id"], len(enc.encode_ordinary(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest()) for r in d.collect())
     assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in out) == want
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stage_gives_heaps_back(spark, none, stage):
+    """The heap that the stage before has left is collected whole before a stage's workers start."""
+    import corpus_pipeline
+
+    def whole():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    before = whole()
+    corpus_pipeline.STAGES[stage][1](spark, none, None)
+    assert whole() > before
