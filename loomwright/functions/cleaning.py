@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomwright.functions.dialect import Dialect
+import re
+
+from loomwright.functions.dialect import SPACE, Dialect
 
 # Phrases, entities, characters and patterns that the results depend on.
 BOILERPLATE = (
@@ -63,35 +65,57 @@ BOILERPLATE_MARKS = (
 )
 VIDEO_MARKS = ("video", "play", "pause", "stop", "volume", "fullscreen", "media player", "codec", "flash")
 MARKDOWN_MARKS = ("*", "_", "~~", "[", "`")
+EMPHASIS_MARKS = (("***",), ("**_", "_**"), ("_**", "**_"), ("**",), ("__",), ("*",), ("_",), ("~~",))
 
 _GAP = r"(\s*\n\s*)?"
+_SOME = rf"[{SPACE.replace('\\t-', '\\t\\x0b-')}]*+\n\s*+"  # white space with a line end in it, in one way only
+
+
+def _marks(pattern: str) -> tuple[str, ...]:
+    """The runs of plain characters that each match of a pattern of this module has, in lower case."""
+    must = re.sub(r"\([^()]*\)\?|\\?.[?*]|\\[sw]\+", "\n", pattern)
+    return tuple(m.lower() for m in re.sub(r"\\(.)", r"\1", must).split("\n") if m)
+
+
+def _between(d: Dialect, pattern: str) -> str:
+    """pattern with white space around it that has a line end. Java's form starts only where a match
+    can: at a first character of the pattern or at the first of a run of white space."""
+    if not d.java:
+        return _GAP + pattern + _GAP
+    optional = re.match(r"\((.)[^)]*\)\?(.)", pattern)
+    first = set("".join(optional.groups()) if optional else pattern.lstrip("\\")[0])
+    first |= {c for f in first for c in (f.lower(), f.upper())}
+    other = "".join(rf"\x{ord(c):02x}" for c in map(chr, range(33, 127)) if c not in first)
+    return rf"(?![{other}])(?:(?<!\s){_SOME})?+{pattern}(?:{_SOME})?+"
 
 
 def mojibake(d: Dialect, x: str) -> str:
-    return d.fold(x, [(a, "i", b) for a, b in MOJIBAKE])
+    return d.fold_where(x, [(("Ã",), a, "i", b) for a, b in MOJIBAKE])
 
 
 def boilerplate(d: Dialect, x: str) -> str:
-    x = d.fold(x, [(_GAP + p + _GAP, "i", "") for p in BOILERPLATE])
-    return d.fold(x, [(rf"(?:\s*{p}\s*)+", "i", "") for p in REPEATED])
+    rules = [(_marks(p), _between(d, p), "i", "") for p in BOILERPLATE]
+    return d.fold_where(x, [*rules, *((_marks(p), rf"(?:\s*{p}\s*)+", "i", "") for p in REPEATED)], True)
 
 
 def video(d: Dialect, x: str) -> str:
-    x = d.fold(x, [(_GAP + p + _GAP, "i", "") for p in VIDEO])
-    return d.replace(x, rf"({_GAP}(Sorry, )?(your )?browser doesn'?t support embedded video\.?{_GAP})+", "i", "")
+    rules = [(_marks(p), _between(d, p), "i", "") for p in VIDEO]
+    every = r"(Sorry, )?(your )?browser doesn'?t support embedded video\.?"
+    return d.fold_where(x, [*rules, (_marks(every), rf"({_GAP}{every}{_GAP})+", "i", "")], True)
 
 
 def entities(d: Dialect, x: str) -> str:
-    return d.fold(x, [*((a, "i", b) for a, b in ENTITIES), (r"&[a-zA-Z0-9#]+;", "", " ")])
+    return d.fold_where(x, [*(((a.lower(),), a, "i", b) for a, b in ENTITIES), (("&", ";"), r"&[a-zA-Z0-9#]+;", "", " ")], True)
 
 
 def markdown(d: Dialect, x: str, client: bool = False) -> str:
-    code = ((r"\b`([^`]+)`\b", 1),) if client else ()
-    return d.fold(x, [(p, "", r"\1") for p, _ in (*EMPHASIS, *code, *LINKS)])
+    code = ((("`",), r"\b`([^`]+)`\b"),) if client else ()
+    rules = (*zip(EMPHASIS_MARKS, (p for p, _ in EMPHASIS), strict=True), *code, *((("[", "]("), p) for p, _ in LINKS))
+    return d.fold_where(x, [(m, p, "", r"\1") for m, p in rules])
 
 
 def special(d: Dialect, x: str) -> str:
-    return d.fold(x, [(a, "", b) for a, b in CHARACTERS])
+    return d.fold_where(x, [((a,), a, "", b) for a, b in CHARACTERS])
 
 
 def _lines(d: Dialect, x: str) -> str:
@@ -99,8 +123,8 @@ def _lines(d: Dialect, x: str) -> str:
 
 
 def whitespace(d: Dialect, x: str, structure: bool = True) -> str:
-    x = d.fold(x, [("¶", "", ""), ("&para;", "i", ""), (r"[ \t]+", "", " ")])
-    return _lines(d, d.fold(x, [(r"\n{4,}", "", "\n\n\n"), (r"\n{3}", "", "\n\n")] if structure else [(r"\n{2,}", "", "\n")]))
+    x = d.fold_where(d.fold_where(x, [(("¶",), "¶", "", "")]), [(("&para;",), "&para;", "i", "")], True)
+    return _lines(d, d.fold_where(d.replace(x, r"[ \t]+", "", " "), [(("\n" * 4,), r"\n{4,}", "", "\n\n\n"), (("\n" * 3,), r"\n{3}", "", "\n\n")] if structure else [(("\n" * 2,), r"\n{2,}", "", "\n")]))
 
 
 def strip_html(d: Dialect, x: str) -> str:

@@ -66,6 +66,11 @@ class Dialect:
         """then, but x where none of the marks occurs: for rules that change nothing without one."""
         return f"CASE WHEN {' OR '.join(self.has(where, m) for m in marks)} THEN {then} ELSE {x} END"
 
+    def fold_where(self, x: str, rules, low: bool = False) -> str:
+        """fold with rules (marks, pattern, flags, replacement): a rule changes nothing unless all of
+        its marks are in the text as it is then (low: in lower case), so Spark looks for them first."""
+        return self.fold(x, [r[1:] for r in rules])
+
     def words(self, x: str) -> str:
         return self.filter(self.split(x, r"\s+"), "w", "w <> ''")
 
@@ -100,6 +105,18 @@ class Spark(Dialect):
     def replace(self, x, pattern, flags, to):
         return f"regexp_replace({x}, {self.rx(pattern, flags)}, {self.lit(re.sub(r'\\(\d)', r'$\1', to.replace('$', r'\$')))})"
 
+    def fold_where(self, x, rules, low=False):
+        """One aggregate over the rules' places, as a lambda for each rule would nest too deep."""
+        value, where = ("s.v", "s.l") if low else ("s", "s")
+        pair = lambda v: f"named_struct('v', {v}, 'l', lower({v}))" if low else v
+        whens = []
+        for k, (marks, pattern, flags, to) in enumerate(rules):
+            done = self.replace(value, pattern, flags, to)
+            done = f"element_at(transform(array({done}), t -> {pair('t')}), 1)" if low else done
+            whens.append(f"WHEN k = {k} AND {' AND '.join(self.has(where, m) for m in marks)} THEN {done}")
+        zero = f"element_at(transform(array({x}), t -> {pair('t')}), 1)" if low else x
+        return f"aggregate(sequence(0, {len(rules) - 1}), {zero}, (s, k) -> CASE {' '.join(whens)} ELSE s END, s -> {value})"
+
     def test(self, x, pattern, flags=""):
         return f"({x} RLIKE {self.rx(pattern, flags)})"
 
