@@ -72,8 +72,13 @@ def batch_summary(d: Dialect) -> str:
     return f"SELECT count(*) AS total, {_n(OK)} AS successful, {_n(FAILED)} AS failed, {MEAN_SCORE} AS mean_quality FROM ({outcomes(d)}) o"
 
 
+def _best_first(d: Dialect) -> str:
+    """Pages of one URL and score are a tie in SQL; Spark takes the lesser page first, as in the table's order."""
+    return "score DESC, url" + ", page_id" * d.java
+
+
 def batch_sorted(d: Dialect) -> str:
-    return f"SELECT page_id, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS position FROM ({outcomes(d)}) o WHERE {OK}"
+    return f"SELECT page_id, score, row_number() OVER (PARTITION BY site ORDER BY {_best_first(d)}) AS position FROM ({outcomes(d)}) o WHERE {OK}"
 
 
 def side_outputs(d: Dialect) -> str:
@@ -188,7 +193,7 @@ def collection(client: bool = False, scores: bool = True, metadata: bool = True,
 
     def make(d: Dialect) -> str:
         limit = "" if most is None else f" WHERE n <= {most}"
-        numbered = rows or f"SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS n FROM ({outcomes(d)}) o WHERE {OK}"
+        numbered = rows or f"SELECT *, row_number() OVER (PARTITION BY site ORDER BY {_best_first(d)}) AS n FROM ({outcomes(d)}) o WHERE {OK}"
         docs = f"SELECT * FROM ({numbered}) r{limit}"
         name = C.document_title(d, "title")
         shown = f"CASE WHEN {d.test(name, GENERIC, 'i')} THEN {C.url_title(d, 'url')} ELSE {name} END"

@@ -8,6 +8,7 @@ import pytest
 
 from loomwright.functions import cleaning as C
 from loomwright.functions.dialect import DUCK, SPARK
+from loomwright.operators import reports
 
 
 def rows_of_both(spark, make, texts, column="text"):
@@ -38,3 +39,14 @@ def test_guarded_rules_take_long_runs_of_blanks(spark, make):
     began = time.monotonic()
     rows_of_both(spark, make, ["Play" + " " * 40_000 + "x Loading... y"])
     assert time.monotonic() - began < 20
+
+
+OUTCOME = "page_id long, url string, site string, title string, content string, words long, score double, method string, reason string, status string, error string"
+
+
+def test_pages_of_one_url_and_score_are_in_the_order_of_ids(spark):
+    rows = [(i, "http://a.example/x", "a.example", f"T{i}", "text", 1, 0.5, "fallback", "r", "ok", None) for i in (9, 4, 7, 1)]
+    spark.createDataFrame(rows, OUTCOME).coalesce(1).createOrReplaceTempView("page_outcomes")
+    assert {r["page_id"]: r["position"] for r in spark.sql(reports.batch_sorted(SPARK)).collect()} == {1: 1, 4: 2, 7: 3, 9: 4}
+    sections = spark.sql(reports.collection()(SPARK)).where("part = 3").orderBy("n").collect()
+    assert [r["section"].split(". ")[1].split("\n")[0] for r in sections] == ["T1", "T4", "T7", "T9"]
