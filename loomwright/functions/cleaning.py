@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from loomwright.functions.dialect import SPACE, Dialect
+from loomwright.functions.dialect import PLAIN_LINE, Dialect
 
 # Phrases, entities, characters and patterns that the results depend on.
 BOILERPLATE = (
@@ -68,7 +68,7 @@ MARKDOWN_MARKS = ("*", "_", "~~", "[", "`")
 EMPHASIS_MARKS = (("***",), ("**_", "_**"), ("_**", "**_"), ("**",), ("__",), ("*",), ("_",), ("~~",))
 
 _GAP = r"(\s*\n\s*)?"
-_SOME = rf"[{SPACE.replace('\\t-', '\\t\\x0b-')}]*+\n\s*+"  # white space with a line end in it, in one way only
+_SOME = rf"[{PLAIN_LINE}]*+\n\s*+"  # white space with a line end in it, in one way only
 
 
 def _marks(pattern: str) -> tuple[str, ...]:
@@ -134,6 +134,8 @@ def strip_html(d: Dialect, x: str) -> str:
 
 
 def strip_tags(d: Dialect, x: str) -> str:
+    if d.java:  # the pieces between white space with blanks between them
+        return d.trim(d.let(d.fold_where(x, [(("<", ">"), r"<[^>]*>", "", " ")]), "y", lambda y: d.join(d.split_spaces(y, d.wide(y)), " ")))
     return d.trim(d.fold(x, [(r"<[^>]*>", "", " "), (r"\s+", "", " ")]))
 
 
@@ -160,10 +162,9 @@ def framework(d: Dialect, x: str) -> str:
 def code_cap(d: Dialect, x: str, most: int = 1000) -> str:
     """Fenced blocks of more than `most` characters are cut there and end in three dots; a fence
     without an end is left as it is."""
-    parts = d.split(x, "```")
     whole = "concat('```', p, '```')"
-    cut = lambda i: f"CASE WHEN {i} % 2 = 0 THEN p WHEN {i} = {d.size(parts)} - 1 THEN concat('```', p) WHEN length(p) + 6 > {most} THEN concat({d.left(whole, most)}, '...') ELSE {whole} END"
-    return d.join(d.map_at(parts, "p", cut), "")
+    cut = lambda parts, i: f"CASE WHEN {i} % 2 = 0 THEN p WHEN {i} = {d.size(parts)} - 1 THEN concat('```', p) WHEN length(p) + 6 > {most} THEN concat({d.left(whole, most)}, '...') ELSE {whole} END"
+    return d.let(d.split(x, "```"), "cp", lambda parts: d.join(d.map_at(parts, "p", lambda i: cut(parts, i)), ""))
 
 
 def content_filters(d: Dialect, x: str, most_code: int = 2000) -> str:
@@ -180,20 +181,21 @@ def enhancer_filters(d: Dialect, x: str, most_code: int = 1000) -> str:
 def isolate_code(d: Dialect, x: str) -> str:
     """Blank lines around fenced blocks, single blanks in inline code, and a blank line before and
     after runs of lines that begin with four blanks."""
-    x = d.replace(x, f"({FENCE})", "", "\n\n\\1\n\n")
-    code, blank = d.extract_all(x, INLINE, 0), lambda c: d.replace(c, r"\s+", "", " ")
-    x = d.join(d.map_at(d.split(x, INLINE), "p", lambda i: f"concat(p, coalesce({blank(d.at(code, f'{i} + 1'))}, ''))"), "")
-    lines = d.split(x, r"\n")
-    is_code, some = lambda y: d.test(y, r"^    \S"), lambda y: f"{d.trim(y)} <> ''"
+    x = d.fold_where(x, [(("```",), f"({FENCE})", "", "\n\n\\1\n\n")])
+    blank = lambda c: d.replace(c, r"\s+", "", " ")
+    is_code, some, nl = lambda y: d.test(y, r"^    \S"), lambda y: f"{d.trim(y)} <> ''", d.lit("\n")
 
-    def spaced(i: str) -> str:
+    def inline(y: str) -> str:
+        return d.let(d.extract_all(y, INLINE, 0), "ic", lambda code: d.join(d.map_at(d.split(y, INLINE), "p", lambda i: f"concat(p, coalesce({blank(d.at(code, f'{i} + 1'))}, ''))"), ""))
+
+    def spaced(lines: str, i: str) -> str:
         before = f"CASE WHEN {i} = 0 THEN NULL ELSE {d.at(lines, f'greatest({i}, 1)')} END"
         starts = f"{i} > 0 AND {is_code('l')} AND NOT {is_code(before)} AND {some(before)}"
         ends = f"{i} > 0 AND NOT {is_code('l')} AND {is_code(before)} AND {some('l')}"
         return f"CASE WHEN {starts} OR {ends} THEN concat({nl}, l) ELSE l END"
 
-    nl = d.lit("\n")
-    return d.join(d.map_at(lines, "l", spaced), "\n")
+    x = d.let(x, "iy", lambda y: d.only_with(y, "`", inline(y)))
+    return d.let(x, "iz", lambda y: d.only_with(y, "    ", d.let(d.split(y, r"\n"), "ls", lambda lines: d.join(d.map_at(lines, "l", lambda i: spaced(lines, i)), "\n"))))
 
 
 def spacing(d: Dialect, x: str) -> str:

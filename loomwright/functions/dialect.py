@@ -12,7 +12,10 @@ import re
 
 # ECMAScript white space, written for use inside a class
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+PLAIN_LINE = SPACE.replace(r"\t-", r"\t\x0b-")  # without the line end
 SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+# White space that most texts have only, and what a text must have to have any other
+PLAIN_SPACE, WIDE = r"[\t-\r ]", r"[\x{a0}\x{1680}-\x{feff}]"
 _W = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 
@@ -71,6 +74,22 @@ class Dialect:
         its marks are in the text as it is then (low: in lower case), so Spark looks for them first."""
         return self.fold(x, [r[1:] for r in rules])
 
+    def let(self, x: str, name: str, body) -> str:
+        """body(x), where Spark computes x once: an expression inside a lambda is computed for each element."""
+        return body(x)
+
+    def only_with(self, x: str, mark: str, then: str) -> str:
+        """then, which is x where the mark is not in x; Spark looks for the mark first."""
+        return then
+
+    def test_where(self, x: str, marks, pattern: str, flags: str = "", where: str | None = None) -> str:
+        """test of a pattern that no text without one of the marks matches (where: the text that has them)."""
+        return self.test(x, pattern, flags)
+
+    def count_where(self, x: str, marks, pattern: str, flags: str = "", where: str | None = None) -> str:
+        """count, likewise"""
+        return self.count(x, pattern, flags)
+
     def words(self, x: str) -> str:
         return self.filter(self.split(x, r"\s+"), "w", "w <> ''")
 
@@ -112,11 +131,23 @@ class Spark(Dialect):
         whens = []
         for k, (marks, pattern, flags, to) in enumerate(rules):
             done = self.replace(value, pattern, flags, to)
-            done = f"element_at(transform(array({done}), t -> {pair('t')}), 1)" if low else done
+            done = self.let(done, "t", pair) if low else done
             whens.append(f"WHEN k = {k} AND {' AND '.join(self.has(where, m) for m in marks)} THEN {done}")
-        zero = f"element_at(transform(array({x}), t -> {pair('t')}), 1)" if low else x
+        zero = self.let(x, "t", pair) if low else x
         return f"aggregate(sequence(0, {len(rules) - 1}), {zero}, (s, k) -> CASE {' '.join(whens)} ELSE s END, s -> {value})"
 
+    def let(self, x, name, body):
+        return f"element_at(transform(array({x}), {name} -> {body(name)}), 1)"
+
+    def only_with(self, x, mark, then):
+        return f"CASE WHEN {self.has(x, mark)} THEN {then} ELSE {x} END"
+
+    def test_where(self, x, marks, pattern, flags="", where=None):
+        return f"(({' OR '.join(self.has(where or x, m) for m in marks)}) AND {self.test(x, pattern, flags)})"
+
+    def count_where(self, x, marks, pattern, flags="", where=None):
+        return f"CASE WHEN NOT ({' OR '.join(self.has(where or x, m) for m in marks)}) THEN CAST(0 AS BIGINT) ELSE {self.count(x, pattern, flags)} END"
+
     def test(self, x, pattern, flags=""):
         return f"({x} RLIKE {self.rx(pattern, flags)})"
 
@@ -208,6 +239,15 @@ class Spark(Dialect):
         return f"CAST(power({base}, {n}) AS BIGINT)"
 
 
+    def wide(self, x):
+        """Whether x may have white space beyond PLAIN_SPACE."""
+        return f"CASE WHEN octet_length({x}) = length({x}) THEN false ELSE {x} RLIKE {self.lit(WIDE)} END"
+
+    def split_spaces(self, x, wide):
+        """split at white space; a class of few characters is several times as fast."""
+        return f"split({x}, CASE WHEN {wide} THEN {self.rx(r'\s+')} ELSE {self.lit(PLAIN_SPACE + '+')} END, -1)"
+
+
 class Duck(Dialect):
     java = False
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from loomwright.functions.dialect import Dialect
+from loomwright.functions.dialect import PLAIN_LINE, Dialect
 
 # Patterns, word lists and weights of the scores.
 TECHNICAL = (
@@ -11,6 +11,8 @@ TECHNICAL = (
     (r"\b(database|server|client|frontend|backend|framework|library)\b", "i"), (r"\b(documentation|docs|guide|tutorial|example|usage|syntax|parameter)\b", "i"),
     (r"\b(install|setup|configure|deploy|build|test|debug)\b", "i"), (r"[{}\[\]();]", ""), (r"\b[a-zA-Z_][a-zA-Z0-9_]*\(", ""), (r"\$[a-zA-Z_][a-zA-Z0-9_]*", ""), (r"https?://[^\s]+", ""),
 )
+# What a text must have for a technical pattern to match: one of the words (lower case), or the character
+TECHNICAL_MARKS = (*(tuple(p[3:-3].split("|")) for p, _ in TECHNICAL[:5]), tuple("{}[]();"), ("(",), ("$",), ("://",))
 TERMS = (
     "function", "class", "method", "api", "endpoint", "database", "server", "client", "protocol", "algorithm", "framework", "library", "module", "interface", "implementation",
     "configuration", "deployment", "testing", "debugging", "optimization", "performance", "security", "authentication", "authorization", "encryption", "compression", "serialization",
@@ -62,7 +64,9 @@ def basis(d: Dialect, source: str, x: str, text: bool = True, hits: bool = True)
     sentences s and their different word counts k, sentences over 10 characters r, of which ru differ,
     characters outside white space solid, pieces between white space p, lower-cased text low, and hits
     h0.. of the technical patterns."""
-    if text:
+    if text and d.java:
+        source = _counted(d, source, x)
+    elif text:
         pieces, trimmed = d.split(x, r"\s+"), d.map(d.split(x, r"[.!?]+"), "s", d.trim("s"))
         source = d.stage(source, {"ps": pieces, "ss": d.filter(trimmed, "s", "s <> ''"), "low": f"lower({x})"})
         source = d.stage(source, {"ws": d.filter("ps", "w", "w <> ''"), "rs": d.map(d.filter("ss", "z", "length(z) > 10"), "z", "lower(z)")})
@@ -72,10 +76,27 @@ def basis(d: Dialect, source: str, x: str, text: bool = True, hits: bool = True)
             "r": d.size("rs"), "ru": count("rs"), "solid": f"CAST(length({d.join('ws', '')}) AS BIGINT)",
         })
     if hits:
-        source = d.stage(source, {f"h{i}": d.count(x, pattern, f) for i, (pattern, f) in enumerate(TECHNICAL)})
+        where = [words if text else f"lower({x})" for words in ["words_of"] * 5] + [x] * 4
+        source = d.stage(source, {f"h{i}": d.count_where(x, marks, pattern, f, at) for i, ((pattern, f), marks, at) in enumerate(zip(TECHNICAL, TECHNICAL_MARKS, where, strict=True))})
     return source
 
 
+def _counted(d: Dialect, source: str, x: str) -> str:
+    """basis's figures in Spark: the lower-cased text is split once, and for white space most texts
+    need a small class only. Pieces ps, of which only the first and the last can be empty, are in lower case (each by itself where the text has other white
+    space, which can change a letter's form); words_of has each word of the text once."""
+    trimmed = d.map(d.split(x, r"[.!?]+"), "s", d.trim("s"))
+    source = d.stage(source, {"low": f"lower({x})", "raw": f"CASE WHEN {d.wide(x)} THEN {d.split(x, r'\s+')} END", "ss": d.filter(trimmed, "s", "s <> ''")})
+    lowered, wide = d.split(f"lower({d.join('raw', ' ')})", " "), "raw IS NOT NULL"
+    source = d.stage(source, {"ps": f"CASE WHEN {wide} THEN {lowered} ELSE {d.split_spaces('low', 'false')} END", "rs": d.map(d.filter("ss", "z", "length(z) > 10"), "z", "lower(z)")})
+    source = d.stage(source, {"us": d.distinct("ps"), "p": d.size("ps"), "n": f"{d.size('ps')} - CASE WHEN {d.at('ps', 1)} = '' THEN 1 ELSE 0 END - CASE WHEN size(ps) > 1 AND {d.last('ps')} = '' THEN 1 ELSE 0 END"})
+    solid = f"CASE WHEN {wide} THEN length({d.join('raw', '')}) ELSE length({x}) - length(low) + length({d.join('ps', '')}) END"
+    return d.stage(source, {
+        "u": f"{d.size('us')} - CASE WHEN p > n THEN 1 ELSE 0 END", "s": d.size("ss"), "k": d.size(d.distinct(d.map("ss", "z", d.size(d.split_spaces("z", wide))))),
+        "r": d.size("rs"), "ru": d.size(d.distinct("rs")), "solid": f"CAST({solid} AS BIGINT)", "words_of": d.join("us", " "),
+    })
+
+
 # The functions from here on that say "basis" take a row of basis().
 def repetition(d: Dialect, x: str) -> str:
     """basis"""
@@ -90,10 +111,12 @@ def readability(d: Dialect, x: str) -> str:
 
 
 def completeness(d: Dialect, x: str) -> str:
-    t = d.test
-    good = [t(x, r"^#{1,6}\s+.+$", "m"), f"({t(x, r'```[\s\S]*?```')} OR {t(x, r'^    \S.*$', 'm')})", f"({t(x, r'^[\s]*[-*+]\s+.+$', 'm')} OR {t(x, r'^[\s]*\d+\.\s+.+$', 'm')})",
+    t, w = d.test, d.test_where
+    lead = rf"^[{PLAIN_LINE}]*+" if d.java else r"^[\s]*"  # what is before an item on its own line decides
+    good = [w(x, "#", r"^#{1,6}\s+.+$", "m"), f"({w(x, ['```'], r'```[\s\S]*?```')} OR {w(x, ['    '], r'^    \S.*$', 'm')})", f"({w(x, '-*+', lead + r'[-*+]\s+.+$', 'm')} OR {t(x, lead + r'\d+\.\s+.+$', 'm')})",
             f"{d.size(d.split(x, r'\n\n'))} > 2", f"length({x}) >= 200"]
-    bad = [t(x, r"\.{3,}|…"), f"NOT {t(d.trim(x), r'[.!?]$')}", t(x, r"read\s+more|continue\s+reading|see\s+more", "i")]
+    last = d.rest(d.trim(x), -1) if d.java else d.trim(x)
+    bad = [w(x, ("...", "…"), r"\.{3,}|…"), f"NOT {t(last, r'[.!?]$')}", w(x, ("more", "reading"), r"read\s+more|continue\s+reading|see\s+more", "i", f"lower({x})")]
     return clamp(dbl(d.sum_of([(c, 0.2) for c in good] + [(c, -0.15) for c in bad])))
 
 
@@ -106,7 +129,7 @@ def technical(d: Dialect, x: str) -> str:
 
 def structure(d: Dialect, x: str) -> str:
     fence = f"(NOT {d.has(x, '```')} OR {d.test(x, r'```[\s\S]*?```')})"
-    flags = [(d.test(x, r"^#{1,2}\s+.+", "m"), 0.25), (d.test(x, r"^#{3,6}\s+.+", "m"), 0.20), (f"{d.count(x, r'^#{1,6}\s+', 'm')} >= 2", 0.20), (f"NOT {d.test(x, r'\n{4,}')}", 0.15), (fence, 0.10), ("TRUE", 0.10)]
+    flags = [(d.test_where(x, "#", r"^#{1,2}\s+.+", "m"), 0.25), (d.test_where(x, "#", r"^#{3,6}\s+.+", "m"), 0.20), (f"{d.count_where(x, '#', r'^#{1,6}\s+', 'm')} >= 2", 0.20), (f"NOT {d.test_where(x, [chr(10) * 4], r'\n{4,}')}", 0.15), (fence, 0.10), ("TRUE", 0.10)]
     return dbl(d.sum_of(flags))
 
 
@@ -133,7 +156,7 @@ def assessment(d: Dialect, source: str, x: str, least: int = 100, technical_leas
     short = f"concat({d.lit(REASONS[1] + ' (')}, CAST(length({x}) AS STRING), ' < {least} characters)')"
     why = f"""CASE WHEN {x} IS NULL OR {x} = '' THEN {d.lit(REASONS[0])} WHEN length({x}) < {least} THEN {short} WHEN {gate} THEN {d.lit(REASONS[2])}
         WHEN score >= 0.6 THEN {d.lit(REASONS[3])} WHEN score >= 0.4 THEN {d.lit(REASONS[4])} ELSE {d.lit(REASONS[5])} END"""
-    different = d.size(d.distinct(d.map("ps", "w", "lower(w)")))  # the empty piece at a blank end counts
+    different = "u + CASE WHEN p > n THEN 1 ELSE 0 END" if d.java else d.size(d.distinct(d.map("ps", "w", "lower(w)")))  # the empty piece at a blank end counts
     return d.stage(source, {"level": f"CASE WHEN length({x}) >= {least} AND NOT ({gate}) THEN {level('score')} END", "reason": why, "unique_words": different, "characters": f"CAST(length({x}) AS BIGINT)"})
 
 
@@ -164,15 +187,22 @@ def class_readability(d: Dialect, x: str) -> str:
     return f"CASE WHEN s = 0 OR n = 0 THEN CAST(0 AS DOUBLE) ELSE {clamp(dbl(score))} END"
 
 
+def _any_of(d: Dialect, words: tuple[str, ...]) -> str:
+    """basis: how many of the words are in the text; a single word is in it if it is in one of its words"""
+    if not d.java:
+        return d.any_of("low", words)
+    return "(" + " + ".join(d.any_of("low" if " " in w else "words_of", [w]) for w in words) + ")"
+
+
 def class_technical(d: Dialect, x: str) -> str:
     """basis"""
-    each = [(0.4, f"0.05 * {d.any_of('low', TERMS)}"), (0.3, f"0.03 * {d.any_of('low', CODE)}"), (0.2, f"0.1 * {d.count('low', EXTENSION, 'i')}"), (0.1, f"0.05 * {d.count('low', r'(https?://|ftp://|sftp://|ssh://|git://)', 'i')}")]
+    each = [(0.4, f"0.05 * {_any_of(d, TERMS)}"), (0.3, f"0.03 * {_any_of(d, CODE)}"), (0.2, f"0.1 * {d.count('low', EXTENSION, 'i')}"), (0.1, f"0.05 * {d.count_where('low', ['://'], r'(https?://|ftp://|sftp://|ssh://|git://)', 'i')}")]
     return "least(CAST(1 AS DOUBLE), " + " + ".join(f"least({dbl(str(m))}, {dbl(e)})" for m, e in each) + ")"
 
 
 def class_noise(d: Dialect, x: str) -> str:
     """basis"""
-    each = [(0.4, f"0.1 * {d.any_of('low', ADS)}"), (0.3, f"0.05 * {d.any_of('low', NAV)}"), (0.2, f"0.05 * {d.any_of('low', PLATE)}"), (0.1, f"0.02 * {d.count('low', r'[!]{2,}|[?]{2,}')}")]
+    each = [(0.4, f"0.1 * {_any_of(d, ADS)}"), (0.3, f"0.05 * {_any_of(d, NAV)}"), (0.2, f"0.05 * {_any_of(d, PLATE)}"), (0.1, f"0.02 * {d.count_where('low', ('!!', '??'), r'[!]{2,}|[?]{2,}')}")]
     return clamp("1 - " + " - ".join(f"least({dbl(str(m))}, {dbl(e)})" for m, e in each))
 
 

@@ -7,19 +7,20 @@ import duckdb
 import pytest
 
 from loomwright.functions import cleaning as C
+from loomwright.functions import scoring as S
 from loomwright.functions.dialect import DUCK, SPARK
 from loomwright.operators import reports
 
 
-def rows_of_both(spark, make, texts, column="text"):
+def rows_of_both(spark, make, texts, column="text", source=lambda d: "fixture"):
     """Every text's value in Spark; DuckDB must have the same."""
     rows = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, f"id long, {column} string").createOrReplaceTempView("fixture")
-    got = {r["id"]: r["v"] for r in spark.sql(f"SELECT id, {make(SPARK, column)} AS v FROM fixture").collect()}
+    got = {r["id"]: r["v"] for r in spark.sql(f"SELECT id, {make(SPARK, column)} AS v FROM {source(SPARK)}").collect()}
     con = duckdb.connect()
     con.execute(f"CREATE TABLE fixture (id BIGINT, {column} VARCHAR)")
     con.executemany("INSERT INTO fixture VALUES (?, ?)", rows)
-    want = dict(con.sql(f"SELECT id, {make(DUCK, column)} AS v FROM fixture").fetchall())
+    want = dict(con.sql(f"SELECT id, {make(DUCK, column)} AS v FROM {source(DUCK)}").fetchall())
     assert [(t, got[i], want[i]) for i, t in rows if got[i] != want[i]] == []
     return got
 
@@ -50,3 +51,36 @@ def test_pages_of_one_url_and_score_are_in_the_order_of_ids(spark):
     assert {r["page_id"]: r["position"] for r in spark.sql(reports.batch_sorted(SPARK)).collect()} == {1: 1, 4: 2, 7: 3, 9: 4}
     sections = spark.sql(reports.collection()(SPARK)).where("part = 3").orderBy("n").collect()
     assert [r["section"].split(". ")[1].split("\n")[0] for r in sections] == ["T1", "T4", "T7", "T9"]
+
+
+def test_code_is_set_apart_in_texts_of_many_lines(spark):
+    lines = ["t" if i % 2 else "    x" for i in range(20_000)]
+    spark.createDataFrame([("\n".join(lines),)], "text string").createOrReplaceTempView("fixture")
+    began = time.monotonic()
+    assert spark.sql(f"SELECT {C.isolate_code(SPARK, 'text')} AS v FROM fixture").first()["v"] == "\n\n".join(lines)
+    assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("make", [C.isolate_code, lambda d, x: C.code_cap(d, x, 12), C.strip_tags])
+def test_blocks_and_tags_of_odd_texts(spark, make):
+    draw = random.Random(6)
+    rows_of_both(spark, make, ["", None, *("".join(draw.choices((*PIECES, "```", "    y", "\n    z", "`a  b`", "\u2003", "\ufeff"), k=draw.randint(1, 14))) for _ in range(250))])
+
+
+WORDS = (" ", "  ", "\n", "\n\n\n\n", "\t", "\u00a0", "\u2003", "\ufeff", ". ", "! ", "?? ", "...", "Σ", "ΑΣ", "É", "word", "Word", "api", "API(", "the docs", "{", "$x", "https://h.example/a", "# Head\n", "- item\n", "1. one\n",
+         "\n  2. two", "    code", "```", "read  more", "click here", "home", "const", "x.js", "…", "<b>", "a long sentence of several words")
+FIGURES = {"counts": "n + 10 * u + 100 * p + 1000 * s + 10000 * k + 100000 * r + 1000000 * ru + 10000000 * solid", "hits": " + ".join(f"{10**i} * h{i}" for i in range(9))}
+
+
+@pytest.mark.parametrize("make", [*FIGURES.values(), S.readability, S.completeness, S.technical, S.structure, S.overall, S.class_readability, S.class_technical, S.class_noise])
+def test_scores_of_odd_texts(spark, make):
+    draw = random.Random(7)
+    texts = ["", " ", None, *("".join(draw.choices(WORDS, k=draw.randint(1, 30))) for _ in range(250))]
+    value = (lambda d, x: f"CAST({make} AS BIGINT)") if isinstance(make, str) else lambda d, x: f"round({make(d, x)}, 9)"
+    rows_of_both(spark, value, texts, source=lambda d: f"({S.basis(d, 'SELECT * FROM fixture', 'text')}) b")
+
+
+def test_completeness_takes_many_line_ends(spark):
+    began = time.monotonic()
+    rows_of_both(spark, S.completeness, ["a" + "\n" * 60_000 + "b-"])
+    assert time.monotonic() - began < 20
