@@ -18,12 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, bytes_a_core: int = 32 << 20) -> DataFrame:
-    """df over all cores where it is too small to have a split for each (one row group is read by
-    one task). Larger inputs, by the planner's size, are left as they are: no shuffle at scale."""
+def spread(df: DataFrame, bytes_a_core: int = 32 << 20, bytes_a_task: int = 16 << 20) -> DataFrame:
+    """df over all cores where it is too small to have a split for each (one row group is read by one
+    task), and in tasks of about bytes_a_task by the planner's size where the splits are larger: texts
+    cost far more to work on than to deal anew, and large tasks leave cores idle. Rows are dealt by
+    the hash of the first column, the key. An input in small splits is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * bytes_a_core else df
+    if size < cores * bytes_a_core:
+        return df.repartition(cores)
+    n = -(-size // bytes_a_task)
+    return df if df._jdf.rdd().getNumPartitions() >= n else df.repartition(n, df.columns[0])
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,6 +10,7 @@ from loomwright.functions import cleaning as C
 from loomwright.functions import scoring as S
 from loomwright.functions.dialect import DUCK, SPARK
 from loomwright.operators import reports
+from loomwright.session import spread, table
 
 
 def rows_of_both(spark, make, texts, column="text", source=lambda d: "fixture"):
@@ -84,3 +85,12 @@ def test_completeness_takes_many_line_ends(spark):
     began = time.monotonic()
     rows_of_both(spark, S.completeness, ["a" + "\n" * 60_000 + "b-"])
     assert time.monotonic() - began < 20
+
+
+def test_large_inputs_are_worked_on_in_small_tasks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    cut = spread(docs, bytes_a_core=1, bytes_a_task=20_000)
+    assert cut.rdd.getNumPartitions() >= 10
+    assert max(cut.rdd.glom().map(len).collect()) < docs.count() / 3
+    assert cut.exceptAll(docs).count() == docs.exceptAll(cut).count() == 0
+    assert spread(docs, bytes_a_core=1, bytes_a_task=1 << 30).rdd.getNumPartitions() == docs.rdd.getNumPartitions()
