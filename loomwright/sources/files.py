@@ -33,12 +33,14 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("excludePatterns", F.transform("excludePatterns", pattern))
 
 
-def write_index(pages: DataFrame, path: str, generated: str = "1970-01-01T00:00:00.000Z") -> None:
-    """A page index: a JSON object for each site, so that no line holds more than one site."""
+def write_index(pages: DataFrame, path: str, generated: str = "1970-01-01T00:00:00.000Z", most: int = 256) -> None:
+    """A page index as JSON objects, one a line, each of one site and at most `most` of its pages, so
+    that no line and no task holds a whole site; read_index(lines=True) puts a site's objects together."""
     page = F.struct("url", "title", "content", F.col("estimated_words").cast("int").alias("estimatedWords"), F.col("last_modified").alias("lastModified"), F.split("breadcrumbs", "[|]").alias("breadcrumbs"),
                     F.col("site_key").alias("siteKey"), F.col("site_name").alias("siteName"), F.col("depth").cast("int").alias("depth"), F.lit(generated).alias("crawledAt"))
     site = F.struct(F.first("site_name").alias("name"), F.lit(None).cast("string").alias("baseUrl"), F.lit(generated).alias("lastCrawled"), F.collect_list(page).alias("pages"))
-    rows = pages.groupBy("site_key").agg(site.alias("site"))
+    cut = pages.withColumn("_cut", F.floor(F.monotonically_increasing_id() / most))  # rows of one partition that follow each other
+    rows = cut.groupBy("site_key", "_cut").agg(site.alias("site"))
     rows.select(F.lit(generated).alias("generated"), F.create_map("site_key", "site").alias("sites")).write.json(path)
 
 

@@ -1,16 +1,20 @@
 """Odd and larger inputs: the same rows as DuckDB's, in a time that grows with the text."""
 
+import json
 import random
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from loomwright.functions import cleaning as C
 from loomwright.functions import scoring as S
 from loomwright.functions.dialect import DUCK, SPARK
 from loomwright.operators import reports
+from loomwright.functions import html
 from loomwright.session import spread, table
+from loomwright.sources import files
 
 
 def rows_of_both(spark, make, texts, column="text", source=lambda d: "fixture"):
@@ -94,3 +98,26 @@ def test_large_inputs_are_worked_on_in_small_tasks(spark, sf_dir):
     assert max(cut.rdd.glom().map(len).collect()) < docs.count() / 3
     assert cut.exceptAll(docs).count() == docs.exceptAll(cut).count() == 0
     assert spread(docs, bytes_a_core=1, bytes_a_task=1 << 30).rdd.getNumPartitions() == docs.rdd.getNumPartitions()
+
+
+def test_a_large_site_is_many_lines_of_the_index(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("'s' AS site_key", "'S' AS site_name", "concat('u', id) AS url", "'t' AS title", "'c' AS content", "1 AS estimated_words", "'x' AS last_modified", "'a|b' AS breadcrumbs", "2 AS depth")
+    files.write_index(rows, str(tmp_path / "index"))
+    lines = [json.loads(x) for p in (tmp_path / "index").glob("*.json") for x in p.read_text().splitlines()]
+    assert max(len(x["sites"]["s"]["pages"]) for x in lines) <= 256
+    got = files.read_index(spark, str(tmp_path / "index"), lines=True)
+    assert sorted(r["url"] for r in got.collect()) == sorted(f"u{i}" for i in range(2000))
+
+
+def test_python_passes_get_small_batches(spark, monkeypatch):
+    def sizes(wanted):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes] * n, pa.int64()), pa.array([""] * n), pa.array([""] * n)], names=["page_id", "url", "title"])
+        return run
+
+    monkeypatch.setattr(html, "_run", sizes)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(0, 4000, 1, 1).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 10000) AS html")
+    assert html.extract_fields(pages, "title").agg({"page_id": "max"}).first()[0] < 8_000_000
