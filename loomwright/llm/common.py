@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import discard, materialize, ship, shared_dir, table  # noqa: F401
+from loomwright.session import BATCH_BYTES, SLICE_BYTES, arrow_map, discard, give_back, materialize, ship, shared_dir, table  # noqa: F401
 
 #: Bytes of files, and rows, that may be broadcast; beyond either every join is a shuffle join.
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
 #: Files that are small at any ratio of compression: their rows need no count.
 TINY_BYTES = 2 << 20
-#: Bytes of text that a Python kernel holds at a time, and of a batch that it is sent.
-SLICE_BYTES = 4_000_000
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -41,14 +35,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         yield b.slice(start)
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers are reused, and the next stage needs it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # another C library
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def give_back_heaps(spark: SparkSession) -> None:
     """Have the executors' JVMs return the heap that they do not need: a heap grows while there is
     garbage and keeps its pages, which workers need later. One task for each core; a JVM that is
@@ -57,21 +43,6 @@ def give_back_heaps(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow with the package shipped to the executors, in batches of SLICE_BYTES or so."""
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set(BATCH_BYTES, SLICE_BYTES)
-
-    def run(batches):
-        try:
-            yield from fn(batches)
-        finally:
-            give_back()
-
-    return df.mapInArrow(run, schema)
-
-
 def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

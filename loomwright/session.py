@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that a Python worker is sent.
+BATCH_BYTES, SLICE_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +54,32 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and the next stage needs it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with the package shipped to the executors, in batches of SLICE_BYTES or so: a
+    worker's memory does not follow the size of its task."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set(BATCH_BYTES, SLICE_BYTES)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The session names it in spark.checkpoint.dir;
     where it is unset on one machine (tests) a temporary folder is set, on a cluster that is an error."""
